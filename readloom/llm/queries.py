@@ -15,6 +15,18 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return expand_pairs(*similar_pairs(table(spark, d, "raw_read").select("read_id", "seq"), k=12, threshold=0.6))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from readloom.llm.groups import connected_groups
+
+    good = (F.col("match_length").isNotNull()) & (100 * F.col("identity").cast("bigint") >= 98 * F.col("match_length").cast("bigint"))
+    names = table(spark, d, "raw_read").select(bare_name(F.col("name")).alias("name"), "read_id").where("name is not null and read_id is not null").distinct()
+    matches = table(spark, d, "pair_match").where(good & (F.col("gap") <= 2)).select(bare_name(F.col("read1")).alias("n1"), bare_name(F.col("read2")).alias("n2")).where("n1 <> n2").distinct()
+    # rows sent again differ in header parts at most, so distinct names are all that counts
+    by_name = matches.join(names.select(F.col("name").alias("n1"), F.col("read_id").alias("a")), "n1").join(names.select(F.col("name").alias("n2"), F.col("read_id").alias("b")), "n2").select("a", "b")
+    listed = table(spark, d, "read_score").where(good).select(F.col("read_id").alias("a"), F.explode("read_list").alias("b"))
+    return connected_groups(by_name.unionByName(listed)).select(F.col("id").alias("read_id"), "group_id")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from readloom.llm.shared_spans import shared_spans
 
@@ -30,6 +42,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return frequent_values(reads, "seq", max(6, -(-rows // 400))).select(F.col("value").alias("seq"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from readloom.llm.top_n import top_n
+
+    scores = table(spark, d, "read_score").where("match_length is not null and identity is not null and read_length is not null")
+    first = F.get(F.col("read_list"), F.lit(0))
+    order = [-F.col("match_length"), -F.col("identity"), -F.col("read_length"), first.isNull(), F.coalesce(first, F.lit(0))]
+    return top_n(scores, "read_id", "score_id", order, 3).select("read_id", "rank_no", "score_id")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from readloom.llm.term_counts import base_word_counts
 
@@ -38,4 +59,4 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return base_word_counts(one_per_read(reads, keep=("seq",)), 32, 4, max(12, -(-n // 400)), only="kept").select(F.col("term").alias("kmer"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
