@@ -81,3 +81,23 @@ def free_shuffles(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once, so that they need no path of ours."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="readloom-code-")) / "readloom_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
