@@ -59,5 +59,44 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return base_word_counts(one_per_read(reads, keep=("seq",)), 32, 4, max(12, -(-n // 400)), only="kept").select(F.col("term").alias("kmer"))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    from readloom.llm.tokens import with_sizes
+    from readloom.session import written
+
+    return written(with_sizes(table(spark, d, "documents"), ["doc_id", "source"]), "sizes")[0]
+
+
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    from readloom.llm.packing import pack_items
+
+    return pack_items(_sized(spark, d), table(spark, d, "pack_bin"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    from readloom.llm.packing import fill_report
+
+    return fill_report(p8_packed(spark, d))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    from readloom.llm.mixing import mix_sources
+
+    return mix_sources(_sized(spark, d), table(spark, d, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    from readloom.llm.mixing import mix_sources
+
+    return mix_sources(_sized(spark, d), table(spark, d, "mix_target"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    from readloom.llm.reading_level import reading_levels
+
+    return reading_levels(table(spark, d, "documents")).select("doc_id", "reading_level")
+
+
 ORACLE: dict[str, str] = {}
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found}
+QUERIES = {
+    q.__name__: q for q in (p1_found, p2_found, p4_found, p5_found, p6_found, p7_found, p8_packed, p8_fill, p9_mix, p9_shares, p10_found)
+}
