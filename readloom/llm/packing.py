@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import defaultdict
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,10 +20,15 @@ SHARD = 20_000  # items of a shard
 
 
 def closest_multiset(lengths: list[int], counts: dict[int, int], room: int, window: int) -> dict[int, int]:
-    """Counts of lengths (ascending, with their available counts) whose sum is closest to room from below, over a window of the largest that fit."""
+    """Counts of lengths (ascending, with their available counts) whose sum is closest to room from below, over a window of those that fit:
+    the largest half, and an even spread over the smaller ones, so that two middling items need not leave a gap."""
     mask, reach, steps = (2 << room) - 1, 1, []
-    at = bisect_right(lengths, room) - 1
-    while at >= 0 and window and not reach >> room & 1:
+    fit = bisect_right(lengths, room)
+    near = max(0, fit - window // 2)
+    spread = range(near - 1, -1, -max(1, near // (window // 2)))
+    for at in chain(range(fit - 1, near - 1, -1), spread):
+        if reach >> room & 1:
+            break
         size = lengths[at]
         left = min(counts[size], room // size)
         take = 1
@@ -32,8 +38,6 @@ def closest_multiset(lengths: list[int], counts: dict[int, int], room: int, wind
             reach |= reach << size * take & mask
             left -= take
             take *= 2
-        at -= 1
-        window -= 1
     best, chosen = reach.bit_length() - 1, {}
     for size, take, before in reversed(steps):
         if not before >> best & 1:
