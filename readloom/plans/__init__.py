@@ -2,7 +2,7 @@
 
 import importlib
 
-_THEMES = ("core",)
+_THEMES = ("core", "kmers")
 
 
 def modules() -> list:
