@@ -2,7 +2,7 @@
 
 import importlib
 
-_THEMES = ("core", "kmers")
+_THEMES = ("core", "kmers", "masking", "clipping")
 
 
 def modules() -> list:
