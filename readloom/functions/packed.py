@@ -30,7 +30,7 @@ class Batch:
         self.starts = bounds[:-1] - bounds[0]
         self.lengths = np.diff(bounds)
         self.codes = _CODE[raw]
-        self.row = np.repeat(np.arange(self.n), self.lengths)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), self.lengths)
 
     def valid(self, k: int) -> np.ndarray:
         """True where k consecutive bases of one row start."""
