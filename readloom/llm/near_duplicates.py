@@ -2,14 +2,13 @@
 
 Plan: exact copies collapse first, then records with the same set of words collapse to classes. Class
 representatives get 64 MinHash values; 32 bands of two values each give the candidates (a pair at the
-threshold 0.6 shares no band with probability (1 - 0.36)^32 = 6e-7). Candidates are pruned in the band join by
-comparing MinHash values incrementally: 16 four-bit lanes of the signature are compared, then 32, and a
-pair is dropped as soon as the posterior probability that its similarity reaches the threshold is
-below `tolerance`. Survivors see the full 32-bit values, 32 and then 64 of them, under the same rule, and
-what is left is verified on the real word sets. The result has no false pair.
-
-A band bucket that holds many rows is split by the adaptive skew join, no row of it is dropped, and the lanes
-keep dissimilar members of one bucket from being emitted.
+threshold 0.6 shares no band with probability (1 - 0.36)^32 = 6e-7). Candidates are pruned within the band join by
+comparing MinHash values incrementally: three bits of 21, then 42, then 63 values, and a pair is dropped as soon as the
+posterior probability that its similarity reaches the threshold is below `tolerance`. What is left is verified on the real
+word sets, so the result has no false pair.
+
+A band bucket that holds many rows is split by the adaptive skew join, no row of it is dropped, and pairs that share
+an adapter or another common stretch, however many, fall to the comparison before they are emitted.
 """
 
 from __future__ import annotations
@@ -28,6 +27,7 @@ from readloom.functions.reads import distinct_sequences
 from readloom.session import written
 
 N_HASH, ROWS = 64, 2
+LANES, BITS = 21, 3  # MinHash values of which a long holds BITS bits each
 
 
 def least_agreement(n: int, threshold: float, tolerance: float, chance: float = 0.0) -> int:
@@ -73,10 +73,10 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.R
         for i in range(N_HASH):
             sig[:, i] = np.minimum.reduceat((h1 * mul[i] + add[i]) >> np.uint64(32), starts)
         counts = np.diff(np.append(starts, len(row)))
-        lanes = np.zeros((len(rows), 2), np.uint64)
-        spread = mix(sig.astype(np.uint64), 3) & np.uint64(15)
-        for i in range(32):
-            lanes[:, i // 16] |= spread[:, i] << np.uint64(4 * (i % 16))
+        lanes = np.zeros((len(rows), 3), np.uint64)
+        low = mix(sig.astype(np.uint64), 3) & np.uint64((1 << BITS) - 1)
+        for i in range(3 * LANES):
+            lanes[:, i // LANES] |= low[:, i] << np.uint64(BITS * (i % LANES))
         bands = mix(mix(sig[:, 0::2].astype(np.uint64), 4) ^ sig[:, 1::2] ^ (np.arange(N_HASH // ROWS, dtype=np.uint64) << np.uint64(40)), 5)
         took = t.take(pa.array(rows))
         n = len(rows)
@@ -87,34 +87,22 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.R
                 pa.array(counts.astype(np.int64)),
                 pa.array(np.add.reduceat(h1, starts).view(np.int64)),
                 pa.array(np.add.reduceat(h2, starts).view(np.int64)),
-                pa.array(lanes[:, 0].copy().view(np.int64)),
-                pa.array(lanes[:, 1].copy().view(np.int64)),
+                *[pa.array(lanes[:, i].copy().view(np.int64)) for i in range(3)],
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (N_HASH // ROWS)), pa.array(bands.reshape(-1).view(np.int64))),
-                pa.array([x.tobytes() for x in sig], pa.binary()),
             ],
-            names=["seq_id", "seq", "n_words", "set1", "set2", "lane1", "lane2", "bands", "sig"],
+            names=["seq_id", "seq", "n_words", "set1", "set2", "lane1", "lane2", "lane3", "bands"],
         )
 
 
 def _lanes_agree(a: Column, b: Column) -> Column:
-    """How many of the 16 four-bit lanes of two longs agree."""
+    """How many of the LANES lanes of two longs agree."""
     x = a.bitwiseXOR(b)
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-    return 16 - F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))
+    return LANES - F.bit_count(x.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(LANES)))))
 
 
-def _verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float, tolerance: float) -> Iterator[pa.RecordBatch]:
-    steps = [(n, least_agreement(n, threshold, tolerance)) for n in (32, N_HASH)]
+def _verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iterator[pa.RecordBatch]:
     for t in gathered(batches, "seq_a", 500_000):
-        sig = [np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint32).reshape(-1, N_HASH) for c in ("sig_a", "sig_b")]
-        same = np.cumsum(sig[0] == sig[1], axis=1)
-        ok = np.ones(t.num_rows, bool)
-        for n, least in steps:
-            ok &= same[:, n - 1] >= least
-        t = t.filter(pa.array(ok))
-        if not t.num_rows:
-            continue
         keys = []
         for c in ("seq_a", "seq_b"):
             row, word = _words(Batch(t.column(c)), k)
@@ -139,29 +127,25 @@ def similar_pairs(reads: DataFrame, k: int = 12, threshold: float = 0.6, toleran
     sequences without k plain bases on end, have no words and appear in neither result.
     """
     distinct = distinct_sequences(reads)
-    schema = "seq_id bigint, seq string, n_words bigint, set1 bigint, set2 bigint, lane1 bigint, lane2 bigint, bands array<bigint>, sig binary"
+    schema = "seq_id bigint, seq string, n_words bigint, set1 bigint, set2 bigint, lane1 bigint, lane2 bigint, lane3 bigint, bands array<bigint>"
     signed, _ = written(distinct.select("seq_id", "seq").mapInArrow(lambda it: _sign(it, k, seed), schema), "sign")
     classes = signed.groupBy("set1", "set2", "n_words").agg(F.min("seq_id").alias("class_id"))
     members = signed.join(classes, ["set1", "set2", "n_words"]).select("seq_id", "class_id")
     reps = signed.join(classes.select("class_id"), F.col("seq_id") == F.col("class_id"), "left_semi")
 
-    bands = reps.select(F.explode("bands").alias("band"), "seq_id", "lane1", "lane2")
+    bands = reps.select(F.explode("bands").alias("band"), "seq_id", "lane1", "lane2", "lane3")
     a, b = bands.alias("a"), bands.alias("b")
-    one = _lanes_agree(F.col("a.lane1"), F.col("b.lane1"))
-    two = one + _lanes_agree(F.col("a.lane2"), F.col("b.lane2"))
-    chance = 1 / 16
-    pairs, _ = written(
-        a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.seq_id") < F.col("b.seq_id")) & (one >= least_agreement(16, threshold, tolerance, chance)) & (two >= least_agreement(32, threshold, tolerance, chance)))
-        .select(F.col("a.seq_id").alias("a"), F.col("b.seq_id").alias("b"))
-        .distinct(),
-        "pairs",
-    )
-    side = lambda x: signed.select(F.col("seq_id").alias(x), F.col("seq").alias(f"seq_{x}"), F.col("n_words").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    on, agree = (F.col("a.band") == F.col("b.band")) & (F.col("a.seq_id") < F.col("b.seq_id")), F.lit(0)
+    for step in (1, 2, 3):
+        agree = agree + _lanes_agree(F.col(f"a.lane{step}"), F.col(f"b.lane{step}"))
+        on &= agree >= least_agreement(step * LANES, threshold, tolerance, 1 / 2**BITS)
+    pairs, _ = written(a.join(b, on).select(F.col("a.seq_id").alias("a"), F.col("b.seq_id").alias("b")).distinct(), "pairs")
+    side = lambda x: signed.select(F.col("seq_id").alias(x), F.col("seq").alias(f"seq_{x}"), F.col("n_words").alias(f"n_{x}"))
     found = (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
-        .select("a", "b", "seq_a", "seq_b", "n_a", "n_b", "sig_a", "sig_b")
-        .mapInArrow(lambda it: _verify(it, k, threshold, tolerance), "a bigint, b bigint, identity double")
+        .select("a", "b", "seq_a", "seq_b", "n_a", "n_b")
+        .mapInArrow(lambda it: _verify(it, k, threshold), "a bigint, b bigint, identity double")
     )
     return members, found.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "identity")
 
