@@ -2,7 +2,7 @@
 
 import importlib
 
-_THEMES = ("core", "kmers", "masking", "clipping")
+_THEMES = ("core", "kmers", "masking", "clipping", "search", "tables")
 
 
 def modules() -> list:
