@@ -3,7 +3,7 @@
 Plan: exact copies collapse first, then records with the same set of words collapse to classes. Class
 representatives get 64 MinHash values; 32 bands of two values each give the candidates (a pair at the
 threshold 0.6 shares no band with probability (1 - 0.36)^32 = 6e-7). Candidates are pruned within the band join by
-comparing MinHash values incrementally: three bits of 21, then 42, then 63 values, and a pair is dropped as soon as the
+comparing MinHash values incrementally: four bits of 16, 32, 48, then all 64 values, and a pair is dropped as soon as the
 posterior probability that its similarity reaches the threshold is below `tolerance`. What is left is verified on the real
 word sets, so the result has no false pair.
 
@@ -27,7 +27,9 @@ from readloom.functions.reads import distinct_sequences
 from readloom.session import written
 
 N_HASH, ROWS = 64, 2
-LANES, BITS = 21, 3  # MinHash values of which a long holds BITS bits each
+LANES, BITS = 16, 4  # MinHash values of which a long holds BITS bits each
+LONGS = N_HASH // LANES
+LANE_COLUMNS = [f"lane{i + 1}" for i in range(LONGS)]
 
 
 def least_agreement(n: int, threshold: float, tolerance: float, chance: float = 0.0) -> int:
@@ -73,9 +75,9 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.R
         for i in range(N_HASH):
             sig[:, i] = np.minimum.reduceat((h1 * mul[i] + add[i]) >> np.uint64(32), starts)
         counts = np.diff(np.append(starts, len(row)))
-        lanes = np.zeros((len(rows), 3), np.uint64)
+        lanes = np.zeros((len(rows), LONGS), np.uint64)
         low = mix(sig.astype(np.uint64), 3) & np.uint64((1 << BITS) - 1)
-        for i in range(3 * LANES):
+        for i in range(N_HASH):
             lanes[:, i // LANES] |= low[:, i] << np.uint64(BITS * (i % LANES))
         bands = mix(mix(sig[:, 0::2].astype(np.uint64), 4) ^ sig[:, 1::2] ^ (np.arange(N_HASH // ROWS, dtype=np.uint64) << np.uint64(40)), 5)
         took = t.take(pa.array(rows))
@@ -87,10 +89,10 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.R
                 pa.array(counts.astype(np.int64)),
                 pa.array(np.add.reduceat(h1, starts).view(np.int64)),
                 pa.array(np.add.reduceat(h2, starts).view(np.int64)),
-                *[pa.array(lanes[:, i].copy().view(np.int64)) for i in range(3)],
+                *[pa.array(lanes[:, i].copy().view(np.int64)) for i in range(LONGS)],
                 pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (N_HASH // ROWS)), pa.array(bands.reshape(-1).view(np.int64))),
             ],
-            names=["seq_id", "seq", "n_words", "set1", "set2", "lane1", "lane2", "lane3", "bands"],
+            names=["seq_id", "seq", "n_words", "set1", "set2", *LANE_COLUMNS, "bands"],
         )
 
 
@@ -127,16 +129,16 @@ def similar_pairs(reads: DataFrame, k: int = 12, threshold: float = 0.6, toleran
     sequences without k plain bases on end, have no words and appear in neither result.
     """
     distinct = distinct_sequences(reads)
-    schema = "seq_id bigint, seq string, n_words bigint, set1 bigint, set2 bigint, lane1 bigint, lane2 bigint, lane3 bigint, bands array<bigint>"
+    schema = "seq_id bigint, seq string, n_words bigint, set1 bigint, set2 bigint, " + "".join(f"{c} bigint, " for c in LANE_COLUMNS) + "bands array<bigint>"
     signed, _ = written(distinct.select("seq_id", "seq").mapInArrow(lambda it: _sign(it, k, seed), schema), "sign")
     classes = signed.groupBy("set1", "set2", "n_words").agg(F.min("seq_id").alias("class_id"))
     members = signed.join(classes, ["set1", "set2", "n_words"]).select("seq_id", "class_id")
     reps = signed.join(classes.select("class_id"), F.col("seq_id") == F.col("class_id"), "left_semi")
 
-    bands = reps.select(F.explode("bands").alias("band"), "seq_id", "lane1", "lane2", "lane3")
+    bands = reps.select(F.explode("bands").alias("band"), "seq_id", *LANE_COLUMNS)
     a, b = bands.alias("a"), bands.alias("b")
     on, agree = (F.col("a.band") == F.col("b.band")) & (F.col("a.seq_id") < F.col("b.seq_id")), F.lit(0)
-    for step in (1, 2, 3):
+    for step in range(1, LONGS + 1):
         agree = agree + _lanes_agree(F.col(f"a.lane{step}"), F.col(f"b.lane{step}"))
         on &= agree >= least_agreement(step * LANES, threshold, tolerance, 1 / 2**BITS)
     pairs, _ = written(a.join(b, on).select(F.col("a.seq_id").alias("a"), F.col("b.seq_id").alias("b")).distinct(), "pairs")
