@@ -1,9 +1,9 @@
 """Problem 1: near-duplicate records by the word sets they share.
 
 Plan: exact copies collapse first, then records with the same set of words collapse to classes. Class
-representatives get 64 MinHash values; 32 bands of two values each give the candidates (a pair at the
+representatives get 128 MinHash values; 32 bands of two values each give the candidates (a pair at the
 threshold 0.6 shares no band with probability (1 - 0.36)^32 = 6e-7). Candidates are pruned within the band join by
-comparing MinHash values incrementally: four bits of 16, 32, 48, then all 64 values, and a pair is dropped as soon as the
+comparing MinHash values incrementally: two bits of 32, 64, 96, then all 128 values, and a pair is dropped as soon as the
 posterior probability that its similarity reaches the threshold is below `tolerance`. What is left is verified on the real
 word sets, so the result has no false pair.
 
@@ -26,8 +26,8 @@ from readloom.functions.packed import Batch, first_of_runs, mix
 from readloom.functions.reads import distinct_sequences
 from readloom.session import written
 
-N_HASH, ROWS = 64, 2
-LANES, BITS = 16, 4  # MinHash values of which a long holds BITS bits each
+N_HASH, BANDS, ROWS = 128, 32, 2  # MinHash values; the first BANDS * ROWS make the bands
+LANES, BITS = 32, 2  # of LANES values a long holds BITS bits each
 LONGS = N_HASH // LANES
 LANE_COLUMNS = [f"lane{i + 1}" for i in range(LONGS)]
 
@@ -62,8 +62,8 @@ def _words(batch: Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(seed)
-    mul = rng.integers(1, 2**63, N_HASH, np.uint64) * np.uint64(2) + np.uint64(1)
-    add = rng.integers(0, 2**63, N_HASH, np.uint64)
+    mul = rng.integers(1, 2**31, N_HASH, np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 2**32, N_HASH, np.uint32)
     for t in gathered(batches, "seq", 1_000_000):
         row, word = _words(Batch(t.column("seq")), k)
         starts = first_of_runs(row)
@@ -72,14 +72,15 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.R
             continue
         h1, h2 = mix(word, 1), mix(word, 2)
         sig = np.empty((len(rows), N_HASH), np.uint32)
+        x = (h1 >> np.uint64(32)).astype(np.uint32)
         for i in range(N_HASH):
-            sig[:, i] = np.minimum.reduceat((h1 * mul[i] + add[i]) >> np.uint64(32), starts)
+            sig[:, i] = np.minimum.reduceat(x * mul[i] + add[i], starts)
         counts = np.diff(np.append(starts, len(row)))
         lanes = np.zeros((len(rows), LONGS), np.uint64)
         low = mix(sig.astype(np.uint64), 3) & np.uint64((1 << BITS) - 1)
         for i in range(N_HASH):
             lanes[:, i // LANES] |= low[:, i] << np.uint64(BITS * (i % LANES))
-        bands = mix(mix(sig[:, 0::2].astype(np.uint64), 4) ^ sig[:, 1::2] ^ (np.arange(N_HASH // ROWS, dtype=np.uint64) << np.uint64(40)), 5)
+        bands = mix(mix(sig[:, 0 : BANDS * ROWS : 2].astype(np.uint64), 4) ^ sig[:, 1 : BANDS * ROWS : 2] ^ (np.arange(BANDS, dtype=np.uint64) << np.uint64(40)), 5)
         took = t.take(pa.array(rows))
         n = len(rows)
         yield pa.RecordBatch.from_arrays(
@@ -90,7 +91,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.R
                 pa.array(np.add.reduceat(h1, starts).view(np.int64)),
                 pa.array(np.add.reduceat(h2, starts).view(np.int64)),
                 *[pa.array(lanes[:, i].copy().view(np.int64)) for i in range(LONGS)],
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (N_HASH // ROWS)), pa.array(bands.reshape(-1).view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64))),
             ],
             names=["seq_id", "seq", "n_words", "set1", "set2", *LANE_COLUMNS, "bands"],
         )
@@ -99,7 +100,7 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, seed: int) -> Iterator[pa.R
 def _lanes_agree(a: Column, b: Column) -> Column:
     """How many of the LANES lanes of two longs agree."""
     x = a.bitwiseXOR(b)
-    x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
     return LANES - F.bit_count(x.bitwiseAND(F.lit(sum(1 << BITS * i for i in range(LANES)))))
 
 
