@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: set[tuple[str, str]] = set()
+_OWN: dict[str, str] = {}
 
 
 def build(app: str = "readloom", master: str = "local[8]", **conf: str) -> SparkSession:
@@ -27,12 +28,14 @@ def build(app: str = "readloom", master: str = "local[8]", **conf: str) -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or a new one of ours where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="readloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        _remember(spark, folder)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="readloom-")
+            _remember(spark, _OWN[app])
+        folder = _OWN[app]
     return folder
 
 
