@@ -102,13 +102,11 @@ def strip_zero_quality(qual: Column) -> Column:
 
 
 def trim_n(seq: Column) -> Column:
-    """Sequence with N runs resolved: N at the ends go; '?NN...' is rejected, a leading '?N' dropped; it ends before the first NN, else before the second N;
-    null if rejected or nothing but N."""
+    """Sequence with N runs resolved: N at the ends go; '?NN...' is rejected; '?N...' loses those two and nothing else; otherwise it ends before the first run of
+    several Ns if that is its first N, else before its second N. Null if rejected or nothing but N."""
     s = F.regexp_replace(F.regexp_replace(seq, "^N+", ""), "N+$", "")
-    s = F.when(s.rlike("^[^N]N[^N]"), F.substring(s, F.lit(3), F.length(s))).otherwise(s)
-    cut = F.when(s.contains("NN"), F.substring_index(s, "NN", 1)).otherwise(s)
-    second = F.when(F.length(cut) - F.length(F.replace(cut, F.lit("N"), F.lit(""))) >= 2, F.substring_index(cut, "N", 2)).otherwise(cut)
-    return F.when((s != "") & ~s.rlike("^[^N]NN"), second)
+    rest = F.when(s.rlike("^[^N]*NN"), F.substring_index(s, "N", 1)).otherwise(F.substring_index(s, "N", 2))
+    return F.when((s == "") | s.rlike("^[^N]NN"), F.lit(None)).when(s.rlike("^[^N]N"), F.substring(s, F.lit(3), F.length(s))).otherwise(rest)
 
 
 def by_names(reads: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
