@@ -97,3 +97,40 @@ def with_suffix(text: Column) -> Column:
     n = F.regexp_extract(text, r"^(\d+)[kmgKMG]?$", 1).try_cast("bigint")
     power = F.when(F.lower(F.right(text, F.lit(1))) == "k", 10).when(F.lower(F.right(text, F.lit(1))) == "m", 20).when(F.lower(F.right(text, F.lit(1))) == "g", 30).otherwise(0)
     return (n * F.pow(F.lit(2), power)).cast("bigint")
+
+
+def thousands(n: Column) -> Column:
+    """Whole number with separators."""
+    return F.format_number(n, 0)
+
+
+def pretty_scale(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with the columns times the least power of ten that brings their maximum to at least 0.1, and that power as `scale`."""
+    top = F.array_max(F.array(*[F.max(c) for c in columns]))
+    power = df.agg(top.alias("m")).select(F.when(F.col("m") > 0, F.greatest(F.lit(0), F.ceil(-F.log10("m") - 1))).otherwise(0).alias("scale")).first()[0]
+    return df.withColumns({c: F.col(c) * 10.0**power for c in columns}).withColumn("scale", F.lit(int(power)))
+
+
+def direction_hint(name: Column) -> Column:
+    """struct<library_hint, direction, pair_key> by the first fitting form: 1 '/1 /2', 2 '-R1 -R2', 3 '.F .R', 4 '.x<n> .y<n>'; hint 0 if none fits."""
+    forms = [(1, r"^(.*)/([12])$"), (2, r"^(.*)-R([12])$"), (3, r"^(.*)\.([FR])$"), (4, r"^(.*)\.([xy])\d+$")]
+    out = F.struct(F.lit(0).alias("library_hint"), F.lit("").alias("direction"), name.alias("pair_key"))
+    for hint, p in reversed(forms):
+        d = F.when(F.regexp_extract(name, p, 2).isin("1", "F", "x"), "F").otherwise("R")
+        out = F.when(name.rlike(p), F.struct(F.lit(hint).alias("library_hint"), d.alias("direction"), F.regexp_extract(name, p, 1).alias("pair_key"))).otherwise(out)
+    return out
+
+
+def joined_n_splits(records: DataFrame) -> DataFrame:
+    """Reads (file, read_idx, name, seq, qual) with the pieces of N-split reads joined: a record named 'n<a>-<b>:<c>.<length>.<quality>' adds so many Ns of that quality and its own
+    sequence to the read before it in the file."""
+    from pyspark.sql import Window
+
+    p = r"^n\d+-\d+:\d+\.(\d+)\.(\d+)"
+    w = Window.partitionBy("file").orderBy("read_idx").rowsBetween(Window.unboundedPreceding, 0)
+    more = F.col("name").rlike(p)
+    n, q = F.regexp_extract("name", p, 1).try_cast("int"), F.regexp_extract("name", p, 2).try_cast("int")
+    r = records.withColumn("__g", F.sum((~more).cast("int")).over(w))
+    piece = F.struct("read_idx", F.when(more, F.concat(F.repeat(F.lit("N"), n), "seq")).otherwise(F.col("seq")).alias("s"), F.when(more, F.concat(F.array_repeat(q, n), "qual")).otherwise(F.col("qual")).alias("q"), F.when(~more, F.col("name")).alias("name"))
+    g = r.groupBy("file", "__g").agg(F.array_sort(F.collect_list(piece)).alias("p"))  # the pieces of one read
+    return g.select("file", F.col("p")[0]["read_idx"].alias("read_idx"), F.col("p")[0]["name"].alias("name"), F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"), F.flatten(F.transform("p", lambda x: x["q"])).alias("qual"))

@@ -2,7 +2,7 @@
 
 import importlib
 
-_THEMES = ("core", "kmers", "masking", "clipping", "search", "tables")
+_THEMES = ("core", "kmers", "masking", "clipping", "search", "tables", "perread")
 
 
 def modules() -> list:

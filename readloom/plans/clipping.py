@@ -71,7 +71,7 @@ def f14(spark, d):
     return one(spark, d).withColumn("t", text).select("name", F.when(F.col("t") == "", "").otherwise(F.array_join(dna.decode_quality(F.col("t")).cast("array<string>"), ",")).alias("quals"))
 
 
-@query("f15_quality_offset", "SELECT 33 AS quality_offset")
+@query("f15_quality_offset", f"{FULL}, m AS (SELECT min(x) + 33 AS lo, max(x) + 33 AS hi FROM (SELECT unnest(qual) AS x FROM o)) SELECT CASE WHEN lo > 63 AND hi < 77 THEN NULL WHEN lo > 32 AND hi < 77 THEN 33 WHEN lo > 63 AND hi < 115 THEN 64 END AS quality_offset FROM m")
 def f15(spark, d):
     from readloom.functions.names import quality_offset
 

@@ -137,7 +137,7 @@ def r6(spark, d):
     return T.concatenated_pairs(pairs(spark, d), 100)
 
 
-@query("p23_mended_pairs", f"""{PAIRS}, g AS (SELECT *, length(seq1) >= 140 AS g1, length(seq2) >= 140 AS g2 FROM pr) SELECT base,
+@query("mended_pairs", f"""{PAIRS}, g AS (SELECT *, length(seq1) >= 140 AS g1, length(seq2) >= 140 AS g2 FROM pr) SELECT base,
 CASE WHEN NOT g1 AND g2 THEN reverse(translate(seq2, 'ACGTacgt', 'TGCAtgca')) ELSE seq1 END AS seq1, CASE WHEN g1 AND NOT g2 THEN reverse(translate(seq1, 'ACGTacgt', 'TGCAtgca')) ELSE seq2 END AS seq2 FROM g""")
 def p23(spark, d):
     from readloom.operators.reads import mend_pair

@@ -54,7 +54,7 @@ def s9(spark, d):
     return A.parse_psl(text.select("value")).select(F.col("q_gap_count").cast("bigint").alias("match_id"), "matches", "strand", "q_name", "t_end")
 
 
-@query("p17_contained_matches", f"WITH {PSL} SELECT match_id, q_name, t_name FROM psl {IN_TARGET}")
+@query("contained_matches", f"WITH {PSL} SELECT match_id, q_name, t_name FROM psl {IN_TARGET}")
 def p17(spark, d):
     return A.contained_matches(psl(spark, d), 0.7).select("match_id", "q_name", "t_name")
 
@@ -102,7 +102,7 @@ def o6(spark, d):
     return A.alignment_listing(alignments(spark, d)).select("name2", "start", "name1", "score", "stop", F.size("others").cast("bigint").alias("n_others"))
 
 
-@query("p19_blast_filter", f"WITH {PSL} SELECT match_id FROM psl WHERE matches > 100 AND mismatches < 12 AND q_gap_count < 3")
+@query("blast_filter", f"WITH {PSL} SELECT match_id FROM psl WHERE matches > 100 AND mismatches < 12 AND q_gap_count < 3")
 def p19(spark, d):
     p = psl(spark, d).select("match_id", F.col("matches").alias("score"), "mismatches", F.col("q_gap_count").alias("gaps"))
     return A.blast_filter(p, 100, 12, 3).select("match_id")
@@ -226,7 +226,7 @@ def a25(spark, d):
     return S.well_sizes(bam(spark, d))
 
 
-@query("p20_pass_filter", f"WITH {BAM} SELECT event_id FROM bm WHERE passes >= 3")
+@query("pass_filter", f"WITH {BAM} SELECT event_id FROM bm WHERE passes >= 3")
 def p20(spark, d):
     return S.good_passes(bam(spark, d).withColumnRenamed("passes", "num_passes")).select("event_id")
 
