@@ -1,4 +1,4 @@
-"""Core queries: the problem solved in the core package (the reference operators are in plans/reads.py and on)."""
+"""Queries of problem 3, which is solved in the core package."""
 
 from __future__ import annotations
 
