@@ -28,15 +28,15 @@ def _grow(edges: DataFrame, level: int, hops: int, rate: float, seed: int) -> Da
     """(node, label): the centre that reaches each end of an edge first, within `hops` steps."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     start = lambda x: head_start(F.col(x), level, rate, seed)
+    best = [F.max("t").alias("t"), F.max_by("c", "t").alias("c")]  # fixed-width buffers: a hash aggregate; any of equal t will do
     # the first step needs no join: a neighbour's label is the neighbour itself
-    reach = lambda t, c: F.struct(t.alias("t"), F.col(c).alias("c"))
-    label = both.groupBy("u").agg(F.max(reach(start("v") - 1, "v")).alias("n"))
-    label = label.select(F.col("u").alias("node"), F.greatest("n", reach(start("u"), "u")).alias("best"))
+    label = both.select(F.col("u").alias("node"), (start("v") - 1).alias("t"), F.col("v").alias("c")).groupBy("node").agg(*best)
+    mine = start("node")
+    label = label.select("node", F.greatest("t", mine).alias("t"), F.when(mine >= F.col("t"), F.col("node")).otherwise(F.col("c")).alias("c"))
     for _ in range(hops - 1):
-        offer = both.join(label.select(F.col("node").alias("v"), "best"), "v").select("u", F.struct((F.col("best.t") - 1).alias("t"), F.col("best.c").alias("c")).alias("n"))
-        own = label.select(F.col("node").alias("u"), F.col("best").alias("n"))
-        label = offer.unionByName(own).groupBy("u").agg(F.max("n").alias("best")).withColumnRenamed("u", "node")
-    return label.select("node", F.col("best.c").alias("label"))
+        offer = both.join(label.withColumnRenamed("node", "v"), "v").select(F.col("u").alias("node"), (F.col("t") - 1).alias("t"), "c")
+        label = offer.unionByName(label).groupBy("node").agg(*best)
+    return label.select("node", F.col("c").alias("label"))
 
 
 def connected_groups(links: DataFrame, a: str = "a", b: str = "b", hops: int = 2, rate: float = 0.25, seed: int = 1, most_levels: int = 60) -> DataFrame:
