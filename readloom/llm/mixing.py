@@ -99,8 +99,11 @@ def mix_sources(sized: DataFrame, targets: DataFrame, budget: float | None = Non
     keys = ["recipe", "source", "block"]
     sums = placed.groupBy(*keys, "rest").agg(F.sum("n_tokens").alias("n"))
     upto = Window.partitionBy("recipe", "source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # at most BLOCKS rows each
-    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("kind", F.when(F.col("before") + F.col("n") <= F.col("rest"), 1).when(F.col("before") < F.col("rest"), 2).otherwise(0))
-    marked = placed.join(F.broadcast(sums.select(*keys, "before", "kind")), keys)  # targets x BLOCKS rows at most
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+    # per recipe and source the block in which the rest ends (none: all blocks fit); as long as the table of targets
+    edge = sums.where("before + n > rest").groupBy("recipe", "source").agg(F.min("block").alias("last"), F.min_by("before", "block").alias("before"))
+    kind = F.when(F.col("last").isNull() | (F.col("block") < F.col("last")), 1).when((F.col("block") == F.col("last")) & (F.col("before") < F.col("rest")), 2).otherwise(0)
+    marked = placed.join(F.broadcast(edge), ["recipe", "source"], "left").withColumn("kind", kind).drop("last")
     within = Window.partitionBy(*keys).orderBy("h", "doc_id")
     straddling = marked.where("kind = 2").withColumn("end", F.col("before") + F.sum("n_tokens").over(within))
     # the document across the budget is taken if that comes nearer
