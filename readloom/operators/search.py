@@ -9,17 +9,34 @@ from readloom.functions.dna import reverse_complement
 from readloom.operators.kmers import postings, windows
 
 
+def _texts(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(text_id, seq) of the distinct lists of sequences that a key has, and (text_id, key) of every key; text_id is the lowest key."""
+    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.upper("seq"))).alias("seqs")).select(key, "seqs", F.xxhash64("seqs").alias("h1"), F.xxhash64(F.lit(1), "seqs").alias("h2"))
+    ids = lists.groupBy("h1", "h2").agg(F.min(key).alias("text_id"), F.first("seqs").alias("seqs"))
+    copies = lists.select(key, "h1", "h2").join(ids.select("h1", "h2", "text_id"), ["h1", "h2"]).select("text_id", key)
+    return ids.select("text_id", F.explode("seqs").alias("seq")), copies
+
+
 class ReadIndex:
-    """A k-mer index of reads, kept as two tables: postings (kmer, read_id, n) and sizes (read_id, kmers)."""
+    """A k-mer index of reads, kept as tables: posted (kmer, text_id, n) with one text for all reads of the same sequences, copies (text_id, read_id) and sizes (text_id, kmers)."""
+
+    def __init__(self, posted: DataFrame, k: int, copies: DataFrame | None = None):
+        """posted: (kmer, read_id, n), or (kmer, text_id, n) with copies."""
+        self.k = k
+        self.posted = posted if copies is not None else posted.withColumnRenamed("read_id", "text_id")
+        self.copies = copies if copies is not None else posted.select(F.col("read_id").alias("text_id"), "read_id").distinct()
+        self.sizes = self.posted.groupBy("text_id").agg(F.sum("n").alias("kmers"))
+        self.settings = {"most_hits": None, "least_value": 0.0, "by": "query"}
 
-    def __init__(self, posted: DataFrame, k: int):
-        self.k, self.postings = k, posted
-        self.sizes = posted.groupBy("read_id").agg(F.sum("n").alias("kmers"))
-        self.settings = {"most_hits": 1_000_000, "least_value": 0.0, "by": "query"}
+    @property
+    def postings(self) -> DataFrame:
+        """(kmer, read_id, n) of every read."""
+        return self.posted.join(self.copies, "text_id").select("kmer", "read_id", "n")
 
     @classmethod
     def build(cls, reads: DataFrame, k: int = 24) -> ReadIndex:
-        return cls(postings(reads, k), k)
+        texts, copies = _texts(reads, "read_id")
+        return cls(postings(texts, k, "text_id").withColumnRenamed("read_id", "text_id"), k, copies)
 
     @classmethod
     def load(cls, spark, path: str, k: int) -> ReadIndex:
@@ -36,17 +53,23 @@ class ReadIndex:
     def search(self, queries: DataFrame) -> DataFrame:
         """(query, read_id, hits, value) for queries (query, seq): hits is the sum over the query's k-mers (with multiplicity) of their occurrences in the read.
 
-        k-mers with more than most_hits occurrences are skipped (that cap is the search's own option, an index is not thinned by it). value is hits over the k-mers
-        of the query, or of the read (by='read'); rows with value >= least_value.
+        Every k-mer counts, unless most_hits is set: then k-mers with more occurrences are skipped (that cap is the search's own option, an index is not thinned by it). value is
+        hits over the k-mers of the query, or of the read (by='read'); rows with value >= least_value. Same queries and same reads are compared once; the pairs are spread over
+        their copies at the end.
         """
-        w = windows(queries, self.k, ["query"])
-        q = w.groupBy("query", "kmer").agg(F.count("*").alias("m"))
-        size = w.groupBy("query").agg(F.count("*").alias("q_kmers"))
-        wide = self.postings.join(q.select("kmer").distinct(), "kmer", "left_semi").groupBy("kmer").agg(F.sum("n").alias("all")).where(F.col("all") > self.settings["most_hits"]).select("kmer")
-        hits = q.join(wide, "kmer", "left_anti").join(self.postings, "kmer").groupBy("query", "read_id").agg(F.sum(F.col("m") * F.col("n")).alias("hits"))
-        base = hits.join(size, "query").withColumn("__d", F.col("q_kmers")) if self.settings["by"] == "query" else hits.join(self.sizes, "read_id").withColumn("__d", F.col("kmers"))
-        out = base.withColumn("value", F.round(F.col("hits") / F.col("__d"), 6)).where(F.col("value") >= self.settings["least_value"])
-        return out.select("query", "read_id", "hits", "value")
+        texts, same = _texts(queries, "query")
+        w = windows(texts, self.k, ["text_id"])
+        q = w.groupBy(F.col("text_id").alias("q_id"), "kmer").agg(F.count("*").alias("m"))
+        size = w.groupBy(F.col("text_id").alias("q_id")).agg(F.count("*").alias("q_kmers"))
+        asked = q
+        if self.settings["most_hits"] is not None:
+            weights = self.copies.groupBy("text_id").agg(F.count("*").alias("w"))
+            held = self.posted.join(q.select("kmer").distinct(), "kmer", "left_semi").join(weights, "text_id")
+            asked = q.join(held.groupBy("kmer").agg(F.sum(F.col("n") * F.col("w")).alias("all")).where(F.col("all") > self.settings["most_hits"]).select("kmer"), "kmer", "left_anti")
+        hits = asked.join(self.posted, "kmer").groupBy("q_id", "text_id").agg(F.sum(F.col("m") * F.col("n")).alias("hits"))
+        base = hits.join(size, "q_id").withColumn("__d", F.col("q_kmers")) if self.settings["by"] == "query" else hits.join(self.sizes, "text_id").withColumn("__d", F.col("kmers"))
+        out = base.withColumn("value", F.round(F.col("hits") / F.col("__d"), 6)).where(F.col("value") >= self.settings["least_value"]).select("q_id", "text_id", "hits", "value")
+        return out.join(same.withColumnRenamed("text_id", "q_id"), "q_id").join(self.copies, "text_id").select("query", "read_id", "hits", "value")
 
     def ranked(self, queries: DataFrame) -> DataFrame:
         """search() with rank_no by hits descending, read_id ascending."""

@@ -51,6 +51,24 @@ def j4(spark, d):
     return S.ReadIndex.build(r, 14).set(most_hits=60, by="read").search(queries_of(r))
 
 
+# the same without a cap on the occurrences of a k-mer
+WHOLE = f"""WITH {READS}, {QUERY}, {windows_sql(14, keep='read_id', name='rw')}, ps AS (SELECT kmer, read_id, count(*) AS n FROM rw GROUP BY ALL),
+{windows_sql(14, 'qs', 'query', name='qw')}, q AS (SELECT query, kmer, count(*) AS m FROM qw GROUP BY ALL), qn AS (SELECT query, count(*) AS q_kmers FROM qw GROUP BY query),
+rn AS (SELECT read_id, sum(n) AS kmers FROM ps GROUP BY read_id), h AS (SELECT query, read_id, sum(m * n)::BIGINT AS hits FROM q JOIN ps USING (kmer) GROUP BY ALL)"""
+
+
+@query("q1_search_all", f"{WHOLE}, v AS (SELECT query, read_id, hits, round(hits / q_kmers, 6) AS value FROM h JOIN qn USING (query)) SELECT *, row_number() OVER (PARTITION BY query ORDER BY hits DESC, read_id) AS rank_no FROM v WHERE value >= 0.1")
+def q1_all(spark, d):
+    r = reads(spark, d)
+    return S.ReadIndex.build(r, 14).set(least_value=0.1).ranked(queries_of(r))
+
+
+@query("j4_search_by_read_all", f"{WHOLE} SELECT query, read_id, hits, round(hits / kmers, 6) AS value FROM h JOIN rn USING (read_id)")
+def j4_all(spark, d):
+    r = reads(spark, d)
+    return S.ReadIndex.build(r, 14).set(by="read").search(queries_of(r))
+
+
 # fasta reads are the reference, the others the target
 HITS = f"""WITH {READS}, {windows_sql(16, "(SELECT * FROM reads WHERE file LIKE '%.fasta')", 'file, read_idx, name', name='fw')},
 fp AS (SELECT kmer, min(struct_pack(file := file, read_idx := read_idx, pos := pos, name := name)) AS x FROM fw GROUP BY kmer),
