@@ -53,12 +53,12 @@ def _columns(start: int, qs: str, ss: str) -> list[tuple[int, str]]:
     return out
 
 
-def repair_one(seq: str, qual: list[int] | None, matches: list[tuple[int, str, str]], confirm: int, change: int, least: int = 1) -> tuple[str, list[int], int, int]:
+def repair_one(seq: str, qual: list[int] | None, matches: list[tuple[int, str, str]], confirm: int, change: int) -> tuple[str, list[int], int, int]:
     """(sequence, qualities, changes, confirmed bases).
 
     matches: (start on the query, aligned query, aligned other). Changes are made one at a time, the best supported first (ties: lowest position, then lowest text), if at least `change` matches
-    support it and more do than support the query's own base; matches that contradict a made change at that place no longer vote within `least` bases of it. A base that at
-    least `confirm` matches agree with gets quality 40.
+    support it and more do than support the query's own base; a match that contradicts a made change has no vote any more, anywhere. A base that at least `confirm` matches agree with
+    gets quality 40.
     """
     q = list(qual) if qual is not None and len(qual) == len(seq) else [0] * len(seq)
     votes: list[dict[int, str]] = []
@@ -87,9 +87,9 @@ def repair_one(seq: str, qual: list[int] | None, matches: list[tuple[int, str, s
         _, p, t = best
         for v in votes:
             if p in v and v[p] != t:
-                for x in range(p - least + 1, p + least):
-                    if x != p and x in v:
-                        at[x][v.pop(x)] -= 1
+                for x, old in v.items():
+                    at[x][old] -= 1
+                v.clear()
         bases[p] = t
         done.add(p)
         n_changes += 1

@@ -106,6 +106,17 @@ def test_repair(spark):
     assert s == true and n == 1 and len(q) == 200
 
 
+def test_repair_withdraws_contradicting_matches():
+    seq = "ACGTCAGTACGATCAGTACTGACTGATCGA"
+    at = lambda *changes: "".join(dict(changes).get(i, c) for i, c in enumerate(seq))
+    one, two = at((8, "G")), at((20, "A"))  # two variants: each has one of the changes and the query's base at the other place
+    s, _, n, _ = X.repair_one(seq, None, [(0, seq, one)] * 4 + [(0, seq, two)] * 3, 2, 3)
+    assert s == one and n == 1
+    linked = [(0, seq, one)] * 4 + [(0, seq, two)] * 3 + [(12, seq[12:], two[12:])] * 2
+    s, _, n, confirmed = X.repair_one(seq, None, linked, 5, 3)  # the five votes for A at 20 go first; the four for G are withdrawn with their base there
+    assert s == two and n == 1 and confirmed == 16
+
+
 def test_pair_gap():
     assert _pair_gap([40, 40], [0, 88], [0, 88], 40, 40) == 0
     assert _pair_gap([40], [0], [0], 40, 40) == -1
