@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CONFIRMED = 40  # fixed value: quality of confirmed bases
 
@@ -66,7 +68,7 @@ def repair_one(seq: str, qual: list[int] | None, matches: list[tuple[int, str, s
         a, b = shift_right(a.upper(), b.upper())
         lo, hi = homopolymer_trim(a, b)
         cols = dict(_columns(start + sum(c != "-" for c in a[:lo]), a[lo:hi], b[lo:hi]))
-        votes.append({p: t for p, t in cols.items() if 0 <= p < len(seq)})
+        votes.append({p: t for p, t in cols.items() if 0 <= p < len(seq) and not t.strip("ACGT")})  # other characters of a match say nothing
     at: dict[int, Counter] = defaultdict(Counter)
     for v in votes:
         for p, t in v.items():
@@ -108,21 +110,22 @@ def repair(sequences: DataFrame, matches: DataFrame, confirm: int = 3, change: i
 
     sequences: query_id, seq, qual; matches: query_id, start, stop (on the query, 0-based, half-open), length (of the other sequence), qs, ss (aligned texts). Matches that cover less than
     `overlap` of what they could (the shorter sequence) are ignored. Sequences of which more than the share most_changed would change are returned as they were, aborted. Work is
-    one group a sequence: the matches of one query, a sequencing depth, are what a task holds.
+    one row a sequence with its matches: a sequencing depth of them is what a row holds.
     """
     schema = "query_id string, seq string, qual array<int>, n_changes bigint, n_confirmed bigint, aborted boolean"
 
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, r in left.iterrows():
-            seq = r["seq"] or ""
-            m = [(int(x.start), x.qs, x.ss) for x in right.itertuples() if x.stop - x.start >= overlap * min(len(seq), x.length)]
-            s, q, n, c = repair_one(seq, None if r["qual"] is None else list(r["qual"]), m, confirm, change)
-            bad = most_changed is not None and n > most_changed * max(len(seq), 1)
-            old = list(r["qual"]) if r["qual"] is not None else []
-            out.append((r["query_id"], seq, old, 0, 0, True) if bad else (r["query_id"], s, q, n, c, False))
-        return pd.DataFrame(out, columns=["query_id", "seq", "qual", "n_changes", "n_confirmed", "aborted"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for query, text, old, found in zip(batch["query_id"], batch["seq"], batch["qual"], batch["found"], strict=True):
+                seq = text or ""
+                old = list(old) if old is not None else None
+                m = [(int(x["start"]), x["qs"], x["ss"]) for x in (found if found is not None else ()) if x["stop"] - x["start"] >= overlap * min(len(seq), x["length"])]
+                s, q, n, c = repair_one(seq, old, m, confirm, change)
+                bad = most_changed is not None and n > most_changed * max(len(seq), 1)
+                out.append((query, seq, old or [], 0, 0, True) if bad else (query, s, q, n, c, False))
+            yield pd.DataFrame(out, columns=["query_id", "seq", "qual", "n_changes", "n_confirmed", "aborted"])
 
     a = sequences.where("query_id is not null").select("query_id", "seq", "qual")
-    b = matches.where("query_id is not null and qs is not null and ss is not null").select("query_id", "start", "stop", "length", "qs", "ss")
-    return a.groupBy("query_id").cogroup(b.groupBy("query_id")).applyInPandas(run, schema)
+    b = matches.where("query_id is not null and qs is not null and ss is not null").groupBy("query_id").agg(F.collect_list(F.struct("start", "stop", "length", "qs", "ss")).alias("found"))
+    return a.join(b, "query_id", "left").select("query_id", "seq", "qual", "found").mapInPandas(run, schema)

@@ -95,14 +95,14 @@ def f25(spark, d):
 
 @query("i1_repaired_reads")
 def i1(spark, d):
-    """Reads repaired from reads of the same length whose matches pair_match reports, aligned base by base."""
+    """Reads repaired from the reads that pair_match matches them to, in either order of a pair, by their alignments."""
     from readloom.functions.reads import bare_name
+    from readloom.operators.overlap import aligned_pairs
 
     r = one(spark, d).where("seq <> ''")
-    m = table(spark, d, "pair_match").where("read2 is not null").select(bare_name(F.col("read1")).alias("a"), bare_name(F.col("read2")).alias("b")).where("a <> b").distinct()
-    s = r.select(F.col("name").alias("a"), F.col("seq").alias("qs")).join(m, "a").join(r.select(F.col("name").alias("b"), F.col("seq").alias("ss")), "b").where("length(qs) = length(ss)")
-    matches = s.select(F.col("a").alias("query_id"), F.lit(0).alias("start"), F.length("qs").alias("stop"), F.length("ss").alias("length"), "qs", "ss")
-    return X.repair(r.select(F.col("name").alias("query_id"), "seq", "qual"), matches, 2, 2).select("query_id", "seq", "n_changes", "n_confirmed", "aborted")
+    m = table(spark, d, "pair_match").select(bare_name(F.col("read1")).alias("a"), bare_name(F.col("read2")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = m.join(r.select(F.col("name").alias("a"), F.col("seq").alias("a_seq")), "a").join(r.select(F.col("name").alias("b"), F.col("seq").alias("b_seq")), "b")
+    return X.repair(r.select(F.col("name").alias("query_id"), "seq", "qual"), aligned_pairs(pairs), 2, 2).select("query_id", "seq", "n_changes", "n_confirmed", "aborted")
 
 
 @query("pair_insert_matches")
