@@ -234,6 +234,11 @@ def a30(spark, d):
     return K.postings(reads(spark, d), 14).where("n > 1")
 
 
+@query("a30_postings_all", f"WITH {READS}, {windows_sql(14, keep='read_id')} SELECT kmer, read_id, count(*) AS n FROM win GROUP BY ALL")
+def a30_all(spark, d):
+    return K.postings(reads(spark, d), 14)
+
+
 @query("a31_postings_histogram", f"WITH {READS}, {counts_sql(14)} SELECT cnt AS size, count(*) AS n_kmers FROM kc GROUP BY cnt")
 def a31(spark, d):
     return K.postings_histogram(K.postings(reads(spark, d), 14))
