@@ -50,6 +50,12 @@ def f1(spark, d):
     return reads(spark, d).where(F.length("seq") >= 5).groupBy(dna.base_code(F.substring("seq", 5, 1)).alias("code")).agg(F.count("*").alias("n"))
 
 
+@query("f1_base_codes_all", f"WITH {READS} SELECT strpos('ACGT', b) - 1 AS code, count(*) AS n FROM (SELECT unnest(string_split(upper(seq), '')) AS b FROM reads WHERE seq <> '') GROUP BY ALL")
+def f1_all(spark, d):
+    bases = reads(spark, d).where("seq <> ''").select(F.explode(F.split("seq", "")).alias("b")).where("b <> ''")
+    return bases.groupBy(dna.base_code(F.col("b")).alias("code")).agg(F.count("*").alias("n"))
+
+
 @query("f2_reverse_complement", f"WITH {READS} SELECT file, read_idx, reverse(translate(seq, 'ACGTacgt', 'TGCAtgca')) AS rc, CASE WHEN regexp_full_match(upper(seq), '[ACGT]*') THEN reverse(translate(upper(seq), 'ACGT', 'TGCA')) END AS strict_rc FROM reads")
 def f2(spark, d):
     return reads(spark, d).select("file", "read_idx", dna.reverse_complement(F.col("seq")).alias("rc"), dna.strict_reverse_complement(F.col("seq")).alias("strict_rc"))
@@ -60,6 +66,11 @@ def f3(spark, d):
     return reads(spark, d).select("file", "read_idx", dna.canonical(F.upper(F.substring("seq", 1, 20))).alias("kmer"))
 
 
+@query("f3_canonical_all", f"WITH {READS} SELECT file, read_idx, least(upper(seq), reverse(translate(upper(seq), 'ACGT', 'TGCA'))) AS kmer FROM reads")
+def f3_all(spark, d):
+    return reads(spark, d).select("file", "read_idx", dna.canonical(F.upper("seq")).alias("kmer"))
+
+
 @query("f5_gc_count", f"WITH {READS} SELECT file, read_idx, length(seq) - length(replace(replace(seq, 'G', ''), 'C', '')) AS gc FROM reads")
 def f5(spark, d):
     return reads(spark, d).select("file", "read_idx", dna.gc_count(F.col("seq")).alias("gc"))

@@ -260,6 +260,16 @@ def j12_quality(spark, d):
     return S.add_quality(rows, r).select("name", F.array_join(F.col("qual").cast("array<string>"), ",").alias("quals"), "agrees")
 
 
+@query("j12_add_quality_all", f"{ONE} SELECT name, CASE WHEN length(seq) % 2 = 0 THEN array_to_string(qual, ',') ELSE array_to_string(list_reverse(qual), ',') END AS quals, TRUE AS agrees FROM one WHERE seq <> ''")
+def j12_quality_all(spark, d):
+    from readloom.functions.dna import reverse_complement
+
+    r = one(spark, d)
+    back, n = F.length("seq") % 2 == 1, F.length("seq")
+    rows = r.where("seq <> ''").select("name", F.when(back, n).otherwise(0).alias("start"), F.when(back, 0).otherwise(n).alias("stop"), F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    return S.add_quality(rows, r).select("name", F.array_join(F.col("qual").cast("array<string>"), ",").alias("quals"), "agrees")
+
+
 @query("a29_status_summary", f"WITH {READS}, s AS (SELECT CASE WHEN length(seq) < 100 THEN 'short' WHEN qual IS NULL THEN 'no quality' ELSE 'kept' END AS status, seq FROM reads) SELECT status, count(*) AS n_reads, sum(length(seq))::BIGINT AS n_bases FROM s GROUP BY status")
 def a29(spark, d):
     s = F.when(F.length("seq") < 100, "short").when(F.col("qual").isNull(), "no quality").otherwise("kept")
