@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def quality_offset(texts: DataFrame, column: str, most: int = 1000) -> DataFrame:
-    """(quality_offset) of quality text, judged by its first `most` rows: 33 or 64, null if ambiguous or out of range."""
-    codes = texts.limit(most).select(F.explode(F.transform(F.split(column, ""), F.ascii)).alias("c")).where("c > 0")
-    m = codes.agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+def quality_offset(texts: DataFrame, column: str) -> DataFrame:
+    """(quality_offset) of quality text, judged by all rows: 33 or 64, null if ambiguous or out of range."""
+    codes = texts.select(F.filter(F.transform(F.split(column, ""), F.ascii), lambda c: c > 0).alias("c"))
+    m = codes.agg(F.min(F.array_min("c")).alias("lo"), F.max(F.array_max("c")).alias("hi"))
     lo, hi = F.col("lo"), F.col("hi")
     return m.select(F.when((lo > 63) & (hi < 77), F.lit(None)).when((lo > 32) & (hi < 77), 33).when((lo > 63) & (hi < 115), 64).alias("quality_offset"))
 
