@@ -121,8 +121,10 @@ def shared_spans(reads: DataFrame, length: int = 64) -> DataFrame:
     occurs, in the same direction, in another read.
 
     reads: rows with read_id, name, seq (extra columns are ignored); rows sent again count once. Null, empty and short
-    sequences share nothing. A read that repeats a stretch only within itself shares nothing.
+    sequences share nothing. A read that repeats a stretch only within itself shares nothing. 2 <= length <= 64, else ValueError.
     """
+    if not 2 <= length <= 64:
+        raise ValueError(f"length {length} is not within 2 to 64: two words of 32 bases hold a window")
     reads = one_per_read(reads).where(F.length("seq") >= length)
     reads = reads.select("read_id", "name", F.upper("seq").alias("seq"))
     distinct, _ = written(distinct_sequences(reads).withColumns({"h1": F.xxhash64("seq"), "h2": F.xxhash64(F.lit(1), "seq")}), "distinct")
