@@ -25,8 +25,6 @@ _BEGIN_END = re.compile(r"\\(?:begin|end)\{[^}]*\}?(?:\[[^\]]*\])?")
 _COMMAND = re.compile(r"\\([A-Za-z]+)\*?\s?(?:\{\})?|\\[^A-Za-z]")
 _PARAGRAPH = re.compile(r"\n[ \t]*\n|\\item\b|\\par\b")
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-# pointers to figures, labels and other works are no running prose
-_POINTER = re.compile(r"\(see (?:Fig|Eq|Sec)\.\s*\d*\)|as in\s*(?=[.?!])|in [A-Z]\w+ et al(?=\.)")
 _ENDS = re.compile(r"[.!?][\"'”’)\]]*$")
 _INITIAL = re.compile(r"[A-Z]\.$")
 _VOWELS = re.compile(r"[aeiouyàâäáéèêëíîïóôöúùûü]+")
@@ -111,15 +109,10 @@ class Tokens(dict):
 def counts(text: str, tokens: Tokens) -> tuple[int, int, int, np.ndarray]:
     """(words, sentences, syllables, item of every word token) of the running prose; a paragraph's end ends a sentence."""
     p = " . ".join(running_prose(text)).replace("e.g.", "eg").replace("i.e.", "ie")  # a lone stop ends the paragraph's last sentence
-    found = np.fromiter(map(tokens.__getitem__, _POINTER.sub(" ", p).split()), np.int64)
+    found = np.fromiter(map(tokens.__getitem__, p.split()), np.int64)
     word = (found & 0xFFFF) > 0
     if not word.any():
         return 0, 0, 0, np.zeros(0, np.int64)
     begun = np.add.reduceat(word, np.concatenate([[0], np.flatnonzero(found[:-1] >> 32 & 1) + 1]))  # words of each sentence
     return int((found & 0xFFFF).sum()), int((begun > 0).sum()), int((found >> 16 & 0xFFFF).sum()), found[word] >> 40
 
-
-
-def grade(words: int, n_sentences: int, n_syllables: int) -> float:
-    """US school grade from the length of sentences in words and of words in syllables (fixed coefficients of the Flesch-Kincaid grade)."""
-    return 0.39 * words / n_sentences + 11.8 * n_syllables / words - 15.59

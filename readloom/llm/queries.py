@@ -93,7 +93,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     from readloom.llm.reading_level import reading_levels
 
-    return reading_levels(table(spark, d, "documents")).select("doc_id", "reading_level")
+    return reading_levels(table(spark, d, "documents"), table(spark, d, "level_label")).select("doc_id", "reading_level")
 
 
 ORACLE: dict[str, str] = {}
