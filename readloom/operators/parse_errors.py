@@ -3,14 +3,16 @@
 A line is parsed at zero cost if it is exactly the wanted number of well-formed fields; that path is one regular
 expression, evaluated in the JVM, and its fields are then type-checked there. Only lines without a zero-cost path go
 through the dynamic programme, which finds the cheapest edits (insert or delete a quote, insert or
-delete a delimiter) that make the line parse; the kinds of edit state the reason.
+delete a delimiter), each with its position, that make the line parse; the kinds of edit state the reason.
 
-The programme's state is (lexer state, fields begun); quote edits cost more than any number of delimiter edits, so a
-line is blamed on quoting exactly if no parse exists without a quote edit.
+The programme runs over the line's pieces (blanks, quotes, plain text), so a line costs its number of pieces, however long they are. Its state is
+(lexer state, fields begun); costs compare quote edits first, then delimiter edits, then fields of the wrong type, so a
+line is blamed on quoting exactly if no parse exists without a quote edit, and delimiters are edited where the types fit best.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,54 +22,91 @@ from pyspark.sql import functions as F
 BLANK = " \t\r"
 _FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^ \t\r"]++)'
 GAP, BARE, QUOTED, CLOSED = range(4)  # between fields, in an unquoted field, in quotes, just after a closing quote
+_PIECE = re.compile(r'[ \t\r]+|"|[^ \t\r"]+')
+_DIGITS = re.compile(r"[0-9]+\Z")
+TEXTS = 2  # the first fields are names, the others numbers
 
 
 def cheapest_edits(line: str | None, fields: int) -> tuple[int, int, str]:
     """(quote edits, delimiter edits, the edits in order) of a cheapest parse of line into exactly `fields` fields.
 
-    Edits: q+ / q- insert / delete a quote (q+ also sets apart what follows a closing quote) with their position, d+ / d- insert /
-    delete so many delimiters. Null is an empty line. The allowed number of quote edits grows until a parse exists, so a line
-    without quote faults costs one state per character. More than `fields` + 64 fields count as so many.
+    Edits, each with its 0-based position in the line: q+ / q- insert / delete a quote, d+ / d- insert / delete a delimiter. A delimiter is inserted inside
+    plain text or at the end of the line (for a field that is not there); deleting one makes the fields beside it one. Null is an empty line.
     """
-    line, most = line or "", fields + 64
-    allowed = 0
-    while True:
-        best: dict[tuple[int, int], tuple[int, tuple]] = {(GAP, 0): (0, ())}
-        for i, ch in enumerate(line):
-            after: dict[tuple[int, int], tuple[int, tuple]] = {}
+    line = line or ""
+    # cost: (quote edits, delimiter edits, wrong types); value: cost and the edits so far as a linked list
+    best: dict[tuple[int, int], tuple[tuple[int, int, int], tuple]] = {(GAP, 0): ((0, 0, 0), ())}
+    blank = 0  # where the last blanks began
+    # without quotes the cheapest parse only deletes delimiters or only inserts them, no more than fields are spare or missing
+    quoted = '"' in line
+    n = 0 if quoted else sum(m[0][0] not in BLANK for m in _PIECE.finditer(line))
+    may_cut, may_join, most_d = quoted or n < fields, quoted or n > fields, len(line) if quoted else abs(n - fields)
+    for m in _PIECE.finditer(line):
+        piece, at = m[0], m.start()
+        after: dict[tuple[int, int], tuple[tuple[int, int, int], tuple]] = {}
+
+        def go(state: int, begun: int, cost: tuple[int, int, int], edits: tuple, q: int = 0, d: int = 0, t: int = 0) -> None:
+            new = (cost[0] + q, cost[1] + d, cost[2] + t)
+            if (state, begun) not in after or new < after[state, begun][0]:  # noqa: B023
+                after[state, begun] = (new, edits)  # noqa: B023
+
+        if piece[0] in BLANK:
+            blank = at
             for (state, begun), (cost, edits) in best.items():
-                for to, new, edit in _moves(state, ch):
-                    c, key = cost + bool(edit), (to, min(begun + new, most))
-                    if c <= allowed and (key not in after or c < after[key][0]):
-                        after[key] = (c, (edits, edit, i) if edit else edits)
-            best = after
-        ends = [(cost, abs(fields - begun), begun, edits) for (state, begun), (cost, edits) in best.items() if state != QUOTED]
-        ends += [(cost + 1, abs(fields - begun), begun, (edits, "q+", len(line))) for (state, begun), (cost, edits) in best.items() if state == QUOTED and cost < allowed]
-        if ends:
-            break
-        allowed += 1
-    cost, missing, begun, edits = min(ends, key=lambda x: x[:3])
-    text = [f"d{'+' if begun < fields else '-'}x{missing}"] * (missing > 0)
+                if state == QUOTED:
+                    go(QUOTED, begun, cost, edits)
+                    go(GAP, begun, cost, (edits, "q+", at), q=1)
+                else:
+                    go(GAP, begun, cost, edits)
+        elif piece == '"':
+            for (state, begun), (cost, edits) in best.items():
+                if state == QUOTED:
+                    go(CLOSED, begun, cost, edits)
+                else:
+                    go(state, begun, cost, (edits, "q-", at), q=1)
+                    if state == CLOSED:
+                        go(QUOTED, begun, cost, edits)
+                    elif state == GAP:
+                        if begun < fields:
+                            go(QUOTED, begun + 1, cost, edits)
+                        if begun and may_join:
+                            go(QUOTED, begun, cost, (edits, "d-", blank), d=1)
+        else:
+            number = _DIGITS.match(piece) is not None
+            wrong = lambda begun: int(begun > TEXTS and not number)  # noqa: B023, E731
+            for (state, begun), (cost, edits) in best.items():
+                if state == QUOTED:
+                    go(QUOTED, begun, cost, edits)
+                elif state == CLOSED:  # text after a closing quote: that quote goes
+                    go(QUOTED, begun, cost, (edits, "q-", at - 1), q=1)
+                else:
+                    first = []
+                    if state == BARE:
+                        first.append((begun, cost, edits, 0))
+                    if state == GAP and begun < fields:
+                        first.append((begun + 1, cost, edits, 0))
+                    if state == GAP and begun and may_join and cost[1] < most_d:
+                        first.append((begun, cost, (edits, "d-", blank), 1))
+                    for start, c, e, d in first:
+                        go(BARE, start, c, e, d=d, t=wrong(start))
+                        for more in range(1, min(len(piece), fields - start + 1, most_d - c[1] + 1) if may_cut else 1):  # cut into more fields
+                            e = (e, "d+", at + more)
+                            go(BARE, start + more, c, e, d=d + more, t=sum(wrong(start + i) for i in range(more + 1)))
+        best = after
+    ends = []
+    for (state, begun), ((q, d, t), edits) in best.items():
+        if state == QUOTED:
+            q, edits = q + 1, (edits, "q+", len(line))
+        for _ in range(fields - begun):
+            edits = (edits, "d+", len(line))
+        missing = fields - begun
+        ends.append(((q, d + missing, t + missing), -begun, state, edits))
+    (quotes, delimiters, _), *_, edits = min(ends, key=lambda x: x[:3])
+    text = []
     while edits:
         edits, kind, at = edits
         text.append(f"{kind}@{at}")
-    return cost, missing, " ".join(text[::-1])
-
-
-def _moves(state: int, ch: str) -> list[tuple[int, int, str]]:
-    """(next state, fields begun, edit or '') of the lexer at one character."""
-    if state == QUOTED:
-        if ch == '"':
-            return [(CLOSED, 0, "")]
-        return [(QUOTED, 0, ""), (GAP, 0, "q+")] if ch in BLANK else [(QUOTED, 0, "")]
-    if ch == '"':
-        stay = (state, 0, "q-")
-        return [(QUOTED, 1, ""), stay] if state == GAP else [(QUOTED, 0, ""), stay] if state == CLOSED else [stay]
-    if ch in BLANK:
-        return [(GAP, 0, "")]
-    if state == CLOSED:
-        return [(BARE, 1, "q+"), (QUOTED, 0, "q-")]
-    return [(BARE, int(state == GAP), "")]
+    return quotes, delimiters, " ".join(text[::-1])
 
 
 def _edit_batches(batches: Iterator[pa.RecordBatch], fields: int) -> Iterator[pa.RecordBatch]:

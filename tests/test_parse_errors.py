@@ -112,3 +112,49 @@ def test_edits(line, edits):
 
 def test_empty_table(spark):
     assert run(spark, []) == ({}, {})
+
+
+@pytest.mark.parametrize(
+    ("line", "cost", "edits"),
+    [
+        ("a b c 100 90 80 2 1", (0, 1), "d-@3"),  # a word too many: joined where the types fit
+        ("a b 10090 80 2 1", (0, 1), "d+@11"),  # the last place that fits
+        ("a b", (0, 5), " ".join(["d+@3"] * 5)),
+        ('"a b" c "100 90 80 2 1', (1, 0), "q-@8"),
+        (" ".join(["x"] * 207), (0, 200), None),
+        ('"a" ' * 9, (0, 2), None),
+    ],
+)
+def test_edits_have_positions(line, cost, edits):
+    got = cheapest_edits(line, 7)
+    assert got[:2] == cost and (edits is None or got[2] == edits) and len(got[2].split()) == sum(cost)
+
+
+def applied(line, edits):
+    """The line after its quote edits and the insertions and deletions of delimiters."""
+    out = list(line) + [""]
+    for e in edits.split():
+        kind, at = e[:2], int(e[3:])
+        if kind == "q-":
+            out[at] = ""
+        elif kind == "q+":
+            out[at] = '"' + out[at]
+        elif kind == "d+":
+            out[at] = (" " if at < len(line) else " 0") + out[at]
+        else:
+            while at < len(line) and line[at] in " \t\r":
+                out[at] = ""
+                at += 1
+    return "".join(out)
+
+
+def test_edits_mend_the_line():
+    """Applied to the line, the edits of unquoted lines leave seven fields and those of quote faults no such fault."""
+    rnd = random.Random(8)
+    for _ in range(3000):
+        line = " ".join(rnd.choice(["a", "12", "b_7", "300"]) for _ in range(rnd.randrange(1, 14)))
+        assert len(applied(line, cheapest_edits(line, 7)[2]).split()) == 7, line
+        broken = "".join(c if rnd.random() > 0.05 else '"' for c in line)
+        q, d, edits = cheapest_edits(broken, 7)
+        if q and not d:
+            assert reason(applied(broken, edits)) in ("value", None), (broken, edits)
