@@ -1,9 +1,12 @@
 """Problem 9: mixing sources to target weights by temperature mixing.
 
-Weights lie on the curve w_s ~ t_s^(1 - x) * q_s^x between the target shares t (x = 0) and the sources' own token shares q
-(x = 1); the exponent x is bisected to the smallest value at which no source must be repeated more often than
-allowed within the token budget. Without targets the curve is the usual temperature family w_s ~ q_s^x, bisected to
-a target entropy. Weights become documents by budgeted block permutations: a source's documents, in hash order,
+Source token shares q are exponentiated. Without targets the weights are the usual temperature family w_s ~ q_s^x, bisected to a target
+entropy. With target shares t they are w_s ~ t_s * (q_s / t_s)^x: the targets themselves at x = 0, the sources' own shares at x = 1, where
+nothing is repeated unevenly. x is bisected to the smallest value at which no source exceeds its repetition limit within the token
+budget; the source that binds there keeps its limit, and the others are tempered again among themselves over the rest of the budget, so that each
+comes as near to its target as the limits allow. The default budget is all tokens of the recipe's sources.
+
+Weights become documents by budgeted block permutations: a source's documents, in hash order,
 are cut into blocks with known token sums; whole passes come first, then the blocks of one more
 permutation up to the budget, and only the block that straddles it is looked at row by row.
 """
@@ -38,38 +41,62 @@ def temperature_weights(shares: dict[str, float], target_entropy: float) -> tupl
     return {**{k: 0.0 for k in shares}, **at(high)}, high
 
 
-def bridged_weights(target: dict[str, float], tokens: dict[str, int], most: dict[str, int], budget: float) -> tuple[dict[str, float], float]:
-    """(weights, exponent): the point nearest the target on the curve to the natural shares that keeps to the repetition limits.
+def _bisected(at, fits, low: float, high: float) -> float:
+    """The exponent nearest `low` at which the weights fit; `high` must fit."""
+    if fits(at(low)):
+        return low
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if fits(at(mid)) else (mid, high)
+    return high
+
+
+def tempered_weights(target: dict[str, float], tokens: dict[str, int], most: dict[str, int], budget: float) -> tuple[dict[str, float], dict[str, float]]:
+    """(weights, exponents) of the sources within their repetition limits; exponent 0: the source has its target's part of what the limited ones leave.
 
-    Sources without tokens or with target 0 have weight 0; what is left is normalised. If even the natural shares break a limit, the budget is too large: exponent 1.
+    Sources without tokens, target or repeats have weight 0, the others share it. Weights add up to 1, or to less if every source is at its limit.
     """
-    live = [s for s in target if target[s] > 0 and tokens.get(s, 0) > 0]
-    t, q = normalised({s: target[s] for s in live}), normalised({s: tokens[s] for s in live})
-    at = lambda x: normalised({s: t[s] ** (1 - x) * q[s] ** x for s in live})
-    fits = lambda w: all(w[s] * budget <= most[s] * tokens[s] * (1 + 1e-12) for s in live)
-    low, high = 0.0, 1.0
-    if fits(at(0.0)):
-        high = 0.0
-    else:
-        for _ in range(60):
-            mid = (low + high) / 2
-            low, high = (low, mid) if fits(at(mid)) else (mid, high)
-    return {**{s: 0.0 for s in target}, **at(high)}, high
-
-
-def largest_budget(target: dict[str, float], tokens: dict[str, int], most: dict[str, int]) -> float:
-    """Most tokens at which every source that has any can have its target share within its repetition limit."""
-    live = {s: target[s] for s in target if target[s] > 0 and tokens.get(s, 0) > 0}
-    t = normalised(live)
-    return min((most[s] * tokens[s] / t[s] for s in t), default=0.0)
-
-
-def mix_sources(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    limit = {s: most[s] * tokens.get(s, 0) / budget for s in target} if budget > 0 else {}
+    free = {s for s in limit if target[s] > 0 and limit[s] > 0}
+    weights, exponents = {s: 0.0 for s in target}, {s: 0.0 for s in target}
+    while free:
+        rest = max(1.0 - sum(weights.values()), 0.0)
+        names = sorted(free)
+        lt, lq = ({s: math.log(v) for s, v in normalised({s: x[s] for s in names}).items()} for x in (target, tokens))
+        at = lambda x: {s: w * rest for s, w in normalised({s: math.exp((1 - x) * lt[s] + x * lq[s]) for s in names}).items()}  # noqa: B023, E731
+        fits = lambda w: all(w[s] <= limit[s] * (1 + 1e-12) for s in names)  # noqa: B023, E731
+        x = _bisected(at, fits, 0.0, 1.0) if fits(at(1.0)) else 1.0
+        w = at(x)
+        bound = names if x == 0.0 else [s for s in names if w[s] >= limit[s] * (1 - 1e-9)]
+        for s in bound:
+            weights[s], exponents[s] = min(w[s], limit[s]), x
+        free -= set(bound)
+        if not bound:  # rounding alone
+            break
+    return weights, exponents
+
+
+def entropy_weights(tokens: dict[str, int], most: dict[str, int], budget: float, target_entropy: float) -> tuple[dict[str, float], dict[str, float]]:
+    """(weights, exponents) of the family q^x with the entropy asked for, or as near to it as the repetition limits allow (x then moves towards 1)."""
+    live = {s: n for s, n in tokens.items() if n > 0 and most.get(s, 0) > 0}
+    if not live or budget <= 0:
+        return {s: 0.0 for s in most}, {s: 0.0 for s in most}
+    q = normalised(live)
+    at = lambda x: normalised({s: math.exp(x * (math.log(v) - math.log(max(q.values())))) for s, v in q.items()})
+    fits = lambda w: all(w[s] * budget <= most[s] * live[s] * (1 + 1e-12) for s in live)
+    _, x = temperature_weights(q, target_entropy)
+    if not fits(at(x)) and fits(at(1.0)):
+        x = _bisected(at, fits, x, 1.0)
+    w = at(x)
+    return {s: min(w.get(s, 0.0), most[s] * live.get(s, 0) / budget) for s in most}, {s: x for s in most}
+
+
+def mix_sources(sized: DataFrame, targets: DataFrame, budget: float | None = None, target_entropy: float | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(chosen, report) of every recipe.
 
     sized: doc_id, source, n_tokens, one row per document, best a written table; documents with a null source or id or without tokens are left out.
-    targets: recipe, source, target_share, max_repeats (a parameter table; null counts as 0). budget: tokens of a mixture; by default
-    the most at which all targets that can be reached are reached.
+    targets: recipe, source, target_share, max_repeats (a parameter table; null counts as 0). budget: tokens of a mixture, by default as many as
+    all the recipe's sources with a target have. target_entropy (nats): temperature family of the sources' own shares instead of target shares.
     chosen: recipe, doc_id, source, n_tokens, repeats (1..max_repeats);
     report: recipe, source, target_share, reached_share, source_tokens, mixed_tokens, mean_repeats, exponent.
     """
@@ -83,14 +110,15 @@ def mix_sources(sized: DataFrame, targets: DataFrame, budget: float | None = Non
         rows = [r for r in wanted if r["recipe"] == recipe]
         most = {r["source"]: r["most"] for r in rows}
         target = {r["source"]: r["share"] if most[r["source"]] > 0 else 0.0 for r in rows}
-        total = largest_budget(target, tokens, most) if budget is None else budget
-        weights, exponent = bridged_weights(target, tokens, most, total)
+        total = float(sum(tokens.get(s, 0) for s in target if target[s] > 0)) if budget is None else float(budget)
+        own = {s: tokens.get(s, 0) for s in most}
+        weights, exponents = tempered_weights(target, own, most, total) if target_entropy is None else entropy_weights(own, most, total, target_entropy)
         for r in rows:
             s = r["source"]
             have = tokens.get(s, 0)
             goal = min(weights[s] * total, most[s] * have)
             passes = int(goal // have) if have else 0
-            plan.append((recipe, s, float(r["share"]), passes, float(goal - passes * have), most[s], float(exponent)))
+            plan.append((recipe, s, float(r["share"]), passes, float(goal - passes * have), most[s], float(exponents[s])))
     plan_df = spark.createDataFrame(plan, "recipe string, source string, target_share double, passes int, rest double, most int, exponent double")
     plan_df = F.broadcast(plan_df)  # as long as the table of targets
 
