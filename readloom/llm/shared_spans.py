@@ -1,10 +1,12 @@
 """Problem 4: long exact spans shared between records, by level-wise doubling.
 
-Level one looks at windows of half the wanted length (32 bases, exactly one 64-bit word). Of each long window only
-the half-length window with the lowest hash stands for it: equal long windows choose the same one, so a long
+The first level looks at windows of 32 bases (one 64-bit word; half the wanted length if that is under 64). Of each window of the next
+length only the sub-window with the lowest hash stands for it: equal windows choose the same one, so a
 window can be repeated only if its representative is. Representatives that occur in one record alone are
-dropped; only windows of twice the length around repeated ones are built (two 64-bit words, exact) and
-counted. What survives is joined to spans.
+dropped. Then, level by level, windows of up to twice the length are built around what is repeated and counted, until the wanted
+length is reached or no candidates survive. A window's key is exact: two words of bases at the second level, from then on the names
+of its two (overlapping, at the last level) halves, a name being the number of a repeated window of the level before. What
+survives is joined to spans.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from readloom.functions.arrow import gathered
 from readloom.functions.packed import Batch, first_of_runs, mix
 from readloom.functions.reads import distinct_sequences, one_per_read
-from readloom.session import written
+from readloom.session import drop_table, written
 
 
 def _representatives(b: Batch, half: int, full: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,19 +94,61 @@ def _level_two(batches: Iterator[pa.RecordBatch], half: int, full: int) -> Itera
         )
 
 
+def _pairs(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
+    """Windows made of the named windows at pos and pos + shift of one record."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        lists = b.column(2)
+        lengths = lists.value_lengths().to_numpy()
+        flat = lists.flatten()
+        row = np.repeat(np.arange(b.num_rows), lengths)
+        pos, name = flat.field("pos").to_numpy().astype(np.int64), flat.field("name").to_numpy()
+        order = np.lexsort((pos, row))
+        row, pos, name = row[order], pos[order], name[order]
+        span = int(pos.max(initial=0)) + shift + 1  # (row, pos) in one word
+        key = row * span + pos
+        at = np.searchsorted(key, key + shift)
+        hit = np.flatnonzero(key[np.minimum(at, len(key) - 1)] == key + shift)
+        row, pos, a, z = row[hit], pos[hit], name[hit], name[at[hit]]
+        order = np.lexsort((z, a, row))
+        first = np.zeros(len(hit), bool)
+        first[order[first_of_runs(row[order], a[order], z[order])]] = True
+        weight = b.column(1).to_numpy()[row]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a), pa.array(z), pa.array(b.column(0).to_numpy()[row]), pa.array(pos), pa.array(np.where(first, weight, 0)), pa.array(weight)], names=["hi", "lo", "seq_id", "pos", "adds", "weight"]
+        )
+
+
+WINDOWS = "hi bigint, lo bigint, seq_id bigint, pos bigint, adds bigint, weight bigint"
+
+
 def shared_windows(distinct: DataFrame, length: int) -> DataFrame:
-    """(seq_id, pos): starts of the windows of `length` bases that some other record holds too.
+    """(seq_id, pos): starts of the windows of `length` >= 2 bases that some other record holds too.
 
-    distinct: (seq_id, seq, weight), weight being the number of records with this very sequence. 2 <= length <= 64.
+    distinct: (seq_id, seq, weight), weight being the number of records with this very sequence.
     """
-    half = (length + 1) // 2 if length < 64 else 32
-    one = distinct.mapInArrow(lambda it: _level_one(it, half, length), "rep bigint, seq_id bigint, weight bigint")
+    full = min(length, 64)
+    half = (full + 1) // 2 if full < 64 else 32
+    one = distinct.mapInArrow(lambda it: _level_one(it, half, full), "rep bigint, seq_id bigint, weight bigint")
     repeated = one.groupBy("rep").agg(F.sum("weight").alias("w")).where("w > 1").select("rep")
     candidates = one.join(repeated, "rep").groupBy("seq_id").agg(F.collect_list("rep").alias("reps"))  # as long as the sequence at most
-    windows = distinct.join(candidates, "seq_id").select("seq_id", "seq", "weight", "reps").mapInArrow(lambda it: _level_two(it, half, length), "hi bigint, lo bigint, seq_id bigint, pos bigint, adds bigint, weight bigint")
-    windows, _ = written(windows, "windows")
-    twice = windows.groupBy("hi", "lo").agg(F.sum("adds").alias("w")).where("w > 1").select("hi", "lo")
-    return windows.where("weight > 1").select("seq_id", "pos").unionByName(windows.where("weight = 1").join(twice, ["hi", "lo"]).select("seq_id", "pos"))
+    windows = distinct.join(candidates, "seq_id").select("seq_id", "seq", "weight", "reps").mapInArrow(lambda it: _level_two(it, half, full), WINDOWS)
+    windows, path = written(windows, "windows")
+    while True:
+        twice = windows.groupBy("hi", "lo").agg(F.sum("adds").alias("w")).where("w > 1").select("hi", "lo")
+        if full == length:
+            return windows.where("weight > 1").select("seq_id", "pos").unionByName(windows.where("weight = 1").join(twice, ["hi", "lo"]).select("seq_id", "pos"))
+        twice, names_path = written(twice.withColumn("name", F.monotonically_increasing_id()), "names")  # written once, so a name stays what it is
+        if twice.isEmpty():
+            return twice.select(F.lit(0).cast("bigint").alias("seq_id"), F.lit(0).cast("bigint").alias("pos"))
+        size, full = full, min(2 * full, length)
+        shift = full - size
+        named = windows.join(twice, ["hi", "lo"]).groupBy("seq_id").agg(F.max("weight").alias("weight"), F.collect_list(F.struct("pos", "name")).alias("at"))  # as long as the sequence at most
+        following, following_path = written(named.mapInArrow(lambda it, shift=shift: _pairs(it, shift), WINDOWS), "windows")
+        for p in (path, names_path):
+            drop_table(distinct.sparkSession, p)
+        windows, path = following, following_path
 
 
 def merge_spans(windows: DataFrame, length: int) -> DataFrame:
@@ -121,10 +165,10 @@ def shared_spans(reads: DataFrame, length: int = 64) -> DataFrame:
     occurs, in the same direction, in another read.
 
     reads: rows with read_id, name, seq (extra columns are ignored); rows sent again count once. Null, empty and short
-    sequences share nothing. A read that repeats a stretch only within itself shares nothing. 2 <= length <= 64, else ValueError.
+    sequences share nothing. A read that repeats a stretch only within itself shares nothing. length: 2 or more, else ValueError.
     """
-    if not 2 <= length <= 64:
-        raise ValueError(f"length {length} is not within 2 to 64: two words of 32 bases hold a window")
+    if length < 2:
+        raise ValueError(f"length {length} is under 2")
     reads = one_per_read(reads).where(F.length("seq") >= length)
     reads = reads.select("read_id", "name", F.upper("seq").alias("seq"))
     distinct, _ = written(distinct_sequences(reads).withColumns({"h1": F.xxhash64("seq"), "h2": F.xxhash64(F.lit(1), "seq")}), "distinct")
@@ -134,3 +178,12 @@ def shared_spans(reads: DataFrame, length: int = 64) -> DataFrame:
     return keys.join(named, ["h1", "h2"]).select("read_id", "read_name", "read_length", "span_start", "span_stop")
 
 
+def shared_amounts(reads: DataFrame, length: int = 64) -> DataFrame:
+    """(read_id, read_name, read_length, shared_bases, shared_part): how much of every read lies in spans shared with other reads.
+
+    One row a read with a sequence that is not null or empty, also if nothing of it is shared; the spans are those of shared_spans.
+    """
+    spans = shared_spans(reads, length).groupBy("read_id").agg(F.sum(F.col("span_stop") - F.col("span_start")).alias("shared_bases"))
+    every = one_per_read(reads).where(F.length("seq") > 0).select("read_id", F.col("name").alias("read_name"), F.length("seq").cast("bigint").alias("read_length"))
+    shared = F.coalesce("shared_bases", F.lit(0).cast("bigint"))
+    return every.join(spans, "read_id", "left").select("read_id", "read_name", "read_length", shared.alias("shared_bases"), F.round(shared / F.col("read_length"), 6).alias("shared_part"))

@@ -56,6 +56,7 @@ def base_word_counts(reads: DataFrame, k: int, least: int, below: int, only: str
     are spelled out. Null, empty and short sequences hold no words.
     """
     counts = distinct_sequences(reads).select("seq", "weight").mapInArrow(lambda it: _count(it, k), "term bigint, n bigint, r bigint")
+    counts = counts.repartition("term")  # already combined by batch: another combining before the shuffle would only fill memory
     total = counts.groupBy("term").agg(F.sum("n").alias("occurrences"), F.sum("r").alias("records"))
     total = total.withColumn("mark", mark(F.col("records"), least, below))
     if only:

@@ -177,7 +177,7 @@ def test_connected_groups(spark):
     got = {r.id: r.group_id for r in connected_groups(df).collect()}
     assert got == {x: find(x) for x in list(parent)}
     assert connected_groups(df.limit(0)).count() == 0
-    assert {r.id: r.group_id for r in connected_groups(df, hops=1, seed=9).collect()} == got
+    assert {r.id: r.group_id for r in connected_groups(df, rate=0.5, stride=5, seed=9).collect()} == got
 
 
 def test_top_n(spark):
