@@ -36,3 +36,11 @@ def distinct_sequences(reads: DataFrame) -> DataFrame:
         .agg(F.min("read_id").alias("seq_id"), F.count("*").alias("weight"))
         .select("seq_id", "seq", "weight")
     )
+
+
+def numbered(reads: DataFrame, *order: str) -> DataFrame:
+    """reads with __id, a bigint unique per row (in the order of the given columns, if any), as a written table: the numbers stay what they are however often it is read."""
+    from readloom.session import written
+
+    src = reads.repartitionByRange(*order).sortWithinPartitions(*order) if order else reads
+    return written(src.withColumn("__id", F.monotonically_increasing_id()), "numbered")[0]

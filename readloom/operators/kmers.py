@@ -47,6 +47,79 @@ def _spell(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column(0), letters(b.column(1).to_numpy().view(np.uint64), k), b.column(2)], names=["tag", "kmer", "cnt"])
 
 
+def _packed_windows(batches: Iterator[pa.RecordBatch], k: int, both: bool) -> Iterator[pa.RecordBatch]:
+    for t in gathered(batches, "seq", 1_000_000):
+        b = Batch(t.column("seq"))
+        at = np.flatnonzero(b.valid(k))
+        row, word = b.row[at], (b.canonical(k) if both else b.packed(k))[at]
+        yield pa.RecordBatch.from_arrays([pa.array(t.column("id").to_numpy()[row]), pa.array((at - b.starts[row]).astype(np.int32)), pa.array(word.view(np.int64))], names=["id", "pos", "kmer"])
+
+
+def _packed_kmers(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for t in gathered(batches, "seq", 1_000_000):
+        b = Batch(t.column("seq"))
+        at = np.flatnonzero(b.valid(k))
+        row, word = b.row[at], b.canonical(k)[at]
+        order = np.lexsort((word, row))  # stable: positions stay in order
+        row, word, at = row[order], word[order], at[order]
+        first = first_of_runs(row, word)
+        n = np.diff(np.append(first, len(row)))
+        row, word, at = row[first], word[first], at[first]
+        yield pa.RecordBatch.from_arrays([pa.array(t.column("id").to_numpy()[row]), pa.array(word.view(np.int64)), pa.array(n.astype(np.int64)), pa.array((at - b.starts[row]).astype(np.int32))], names=["id", "kmer", "n", "pos"])
+
+
+def key_windows(reads: DataFrame, k: int, id: str, seq: str = "seq", both: bool = True) -> DataFrame:
+    """(id, pos, kmer) of every valid window; id is a bigint column. kmer is a key: the packed word for k <= 32, else the text (see spell)."""
+    src = reads.select(F.col(id).cast("bigint").alias("id"), F.col(seq).alias("seq"))
+    if k <= 32:
+        return src.mapInArrow(lambda it: _packed_windows(it, k, both), "id bigint, pos int, kmer bigint")
+    return windows(src, k, ["id"], both=both)
+
+
+def read_kmers(reads: DataFrame, k: int, id: str, seq: str = "seq") -> DataFrame:
+    """(id, kmer, n, pos): each distinct canonical k-mer (a key) of every row with its multiplicity and first position; id is a bigint column, one row an id."""
+    src = reads.select(F.col(id).cast("bigint").alias("id"), F.col(seq).alias("seq"))
+    if k <= 32:
+        return src.mapInArrow(lambda it: _packed_kmers(it, k), "id bigint, kmer bigint, n bigint, pos int")
+    return windows(src, k, ["id"]).groupBy("id", "kmer").agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+
+
+def key_counts(reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """(kmer, cnt) with kmer as a key."""
+    src = reads.select(F.lit(0).cast("bigint").alias("tag"), F.col(seq).alias("seq"))
+    if k <= 32:
+        return src.mapInArrow(lambda it: _packed_counts(it, k, False), "tag bigint, word bigint, cnt bigint").groupBy(F.col("word").alias("kmer")).agg(F.sum("cnt").alias("cnt"))
+    return windows(src, k, []).groupBy("kmer").agg(F.count("*").alias("cnt"))
+
+
+def _with_column(batches: Iterator[pa.RecordBatch], i: int, f) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns[:i], f(b.column(i)), *b.columns[i + 1 :]], names=b.schema.names)
+
+
+def spell(df: DataFrame, k: int, column: str = "kmer") -> DataFrame:
+    """df with the keys of a column as text."""
+    if k > 32:
+        return df
+    i = df.columns.index(column)
+    ddl = ", ".join(f"`{f.name}` {'string' if f.name == column else f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(lambda it: _with_column(it, i, lambda c: letters(c.to_numpy().view(np.uint64), k)), ddl)
+
+
+def keyed(df: DataFrame, k: int, column: str = "kmer") -> DataFrame:
+    """df with the k-mer text of a column as keys; rows without k plain bases there are left out."""
+    if k > 32:
+        return df
+    i = df.columns.index(column)
+    ddl = ", ".join(f"`{f.name}` {'bigint' if f.name == column else f.dataType.simpleString()}" for f in df.schema)
+
+    def pack(c: pa.Array) -> pa.Array:
+        b = Batch(c)
+        return pa.array(b.packed(k)[b.starts].view(np.int64)) if len(c) else pa.array([], pa.int64())
+
+    return df.where(F.col(column).rlike(f"^[ACGTacgt]{{{k}}}$")).mapInArrow(lambda it: _with_column(it, i, pack), ddl)
+
+
 def counts(reads: DataFrame, k: int, tag: Column | None = None, seq: str = "seq") -> DataFrame:
     """(kmer, cnt), or (tag, kmer, cnt) with an integer tag per read: exact counts of canonical k-mers, a palindrome once an occurrence."""
     tagged = tag is not None
@@ -170,8 +243,9 @@ def homopolymer_listing(counted: DataFrame) -> DataFrame:
 
 
 def postings(reads: DataFrame, k: int, read_id: str = "read_id") -> DataFrame:
-    """(kmer, read_id, n): reads of each k-mer with multiplicity."""
-    return windows(reads, k, [read_id]).groupBy("kmer", F.col(read_id).alias("read_id")).agg(F.count("*").alias("n"))
+    """(kmer, read_id, n): reads of each k-mer with multiplicity; read_id is a bigint column, a read may have several rows."""
+    each = read_kmers(reads.where(F.col(read_id).isNotNull()), k, read_id)
+    return spell(each.groupBy("kmer", F.col("id").alias("read_id")).agg(F.sum("n").alias("n")), k)
 
 
 def postings_histogram(posted: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.operators import kmers as K
 from readloom.operators import mask as M
 from readloom.plans.sqlkit import READS, counts_sql, reads
 
@@ -48,18 +47,17 @@ mk AS (SELECT name, pos FROM f WHERE coalesce(state, CASE WHEN l = 1 THEN 1 END,
 
 
 def masked(spark, d, x=1):
-    r = one(spark, d)
-    return M.repeat_mask(r, K.counts(r, KM), KM, LEAST, coverage=x)
+    return M.masked_reads(one(spark, d), KM, LEAST, coverage=x)
 
 
 @query("w2_repeat_mask", f"{ONE}, {mask_sql(1)} SELECT name, pos FROM mk")
 def w2(spark, d):
-    return masked(spark, d)
+    return M.masked_positions(masked(spark, d))
 
 
 @query("w2_repeat_mask_coverage3", f"{ONE}, {mask_sql(3)} SELECT name, pos FROM mk")
 def w2_x(spark, d):
-    return masked(spark, d, 3)
+    return M.masked_positions(masked(spark, d, 3))
 
 
 ANCHOR = f"""{ONE}, {mask_sql(1)}, op AS (SELECT bs.name, bs.pos, one.qual[bs.pos + 1] AS q FROM bs JOIN one USING (name) LEFT JOIN mk ON bs.name = mk.name AND bs.pos = mk.pos WHERE mk.pos IS NULL AND b SIMILAR TO '[ACGTacgt]'),
@@ -69,7 +67,7 @@ en AS (SELECT name, min(a) AS lo, max(b) AS hi FROM st GROUP BY name)"""
 
 @query("w3_anchored_mask", f"{ANCHOR} SELECT mk.name, mk.pos FROM mk LEFT JOIN en USING (name) WHERE lo IS NULL OR mk.pos < lo OR mk.pos > hi")
 def w3(spark, d):
-    return M.anchored_mask(one(spark, d), masked(spark, d), 15)
+    return M.masked_positions(M.anchored_mask(masked(spark, d), 15))
 
 
 LISTED = f"{ONE}, {mask_sql(1)}, ml AS (SELECT name, list(pos) AS m FROM mk GROUP BY name)"
@@ -77,22 +75,22 @@ LISTED = f"{ONE}, {mask_sql(1)}, ml AS (SELECT name, list(pos) AS m FROM mk GROU
 
 @query("w4_apply_mask_x", f"{LISTED} SELECT name, CASE WHEN seq = '' THEN '' ELSE array_to_string(list_transform(range(length(seq)), lambda i: CASE WHEN list_contains(coalesce(m, []), i) THEN 'X' ELSE substr(seq, i + 1, 1) END), '') END AS seq FROM one LEFT JOIN ml USING (name)")
 def w4(spark, d):
-    return M.apply_mask(one(spark, d), masked(spark, d))
+    return M.apply_mask(masked(spark, d))
 
 
 @query("w4_apply_mask_lower", f"{LISTED} SELECT name, CASE WHEN seq = '' THEN '' ELSE array_to_string(list_transform(range(length(seq)), lambda i: CASE WHEN list_contains(coalesce(m, []), i) THEN lower(substr(seq, i + 1, 1)) ELSE upper(substr(seq, i + 1, 1)) END), '') END AS seq FROM one LEFT JOIN ml USING (name)")
 def w4_lower(spark, d):
-    return M.apply_mask(one(spark, d), masked(spark, d), "lower")
+    return M.apply_mask(masked(spark, d), "lower")
 
 
 @query("w5_masked_ranges", f"{ONE}, {mask_sql(1)} SELECT name, min(pos) AS start, max(pos) + 1 AS stop FROM (SELECT *, pos - row_number() OVER (PARTITION BY name ORDER BY pos) AS g FROM mk) GROUP BY name, g")
 def w5(spark, d):
-    return M.spans(masked(spark, d), ["name"])
+    return M.masked_ranges(masked(spark, d))
 
 
 @query("w5_masked_percent", f"{ONE}, {mask_sql(1)} SELECT name, round(100.0 * count(*) / any_value(length(seq)), 2) AS masked_pct FROM mk JOIN one USING (name) GROUP BY name")
 def w5_pct(spark, d):
-    return M.masked_percent(one(spark, d), masked(spark, d))
+    return M.masked_percent(masked(spark, d))
 
 
 REP = f"{ONE}, rp AS (SELECT w.name, w.kmer, kc.cnt >= {LEAST} AS rep FROM kc_w w JOIN kc USING (kmer)), rs AS (SELECT name, count(*) AS kmers, count(*) FILTER (rep) AS r_kmers, count(DISTINCT kmer) FILTER (rep) AS ur_kmers FROM rp GROUP BY name)"
@@ -100,8 +98,7 @@ REP = f"{ONE}, rp AS (SELECT w.name, w.kmer, kc.cnt >= {LEAST} AS rep FROM kc_w
 
 @query("a17_repetitiveness", f"{REP} SELECT name, kmers, r_kmers, ur_kmers, round(100.0 * r_kmers / kmers, 4) AS r_pct, round(CASE WHEN r_kmers > 0 THEN 100.0 * ur_kmers / r_kmers END, 4) AS ur_pct FROM rs")
 def a17(spark, d):
-    r = one(spark, d)
-    return M.repetitiveness(M.mark_repeats(r, K.counts(r, KM), KM, LEAST, None, ["name"]))
+    return M.repetitiveness(one(spark, d), KM, LEAST)
 
 
 @query("a18_read_histogram", f"""{ONE}, th AS (SELECT unnest(range(2, 21) || range(25, 101, 5)) AS threshold), n AS (SELECT name, count(*) AS kmers FROM kc_w GROUP BY name),
@@ -109,18 +106,14 @@ r AS (SELECT w.name, threshold, count(*) AS r, count(DISTINCT kmer) AS u FROM kc
 b AS (SELECT threshold::INT AS threshold, unnest([(20 * r - 1) // kmers, (20 * u - 1) // r]) AS bin, unnest([0, 1]) AS t FROM r JOIN n USING (name))
 SELECT threshold, bin, count(*) FILTER (t = 0) AS n_reads, count(*) FILTER (t = 1) AS n_reads_distinct FROM b GROUP BY ALL""")
 def a18(spark, d):
-    r = one(spark, d)
-    return M.read_histogram(r, K.counts(r, KM), KM)
+    return M.read_histogram(one(spark, d), KM)
 
 
 @query("a19_unique_high_quality", f"{ONE}, {mask_sql(1)} SELECT bs.name, count(*) AS n FROM bs JOIN one USING (name) LEFT JOIN mk ON bs.name = mk.name AND bs.pos = mk.pos WHERE mk.pos IS NULL AND b SIMILAR TO '[ACGTacgt]' AND one.qual[bs.pos + 1] >= 20 GROUP BY bs.name")
 def a19(spark, d):
-    return M.unique_high_quality(one(spark, d), masked(spark, d))
+    return M.unique_high_quality(masked(spark, d))
 
 
 @query("j1_kmer_count_lookup", f"{ONE} SELECT w.name, max(cnt) AS top, sum(cnt)::BIGINT AS total FROM kc_w w JOIN kc USING (kmer) GROUP BY w.name")
 def j1(spark, d):
-    r = one(spark, d)
-    return K.windows(r, KM, ["name"]).join(K.counts(r, KM), "kmer", "left").groupBy("name").agg(F.max("cnt").alias("top"), F.sum("cnt").alias("total"))
-
-
+    return M.kmer_totals(one(spark, d), KM)
