@@ -132,6 +132,16 @@ def counts(reads: DataFrame, k: int, tag: Column | None = None, seq: str = "seq"
     return w if tagged else w.drop("tag")
 
 
+def reference_counts(reads: DataFrame, k: int, ref: str) -> DataFrame:
+    """(ref, kmer, cnt) of a text column that names references (as many as there are names); kmer is a key. Names travel as numbers."""
+    from readloom.session import written
+
+    names, _ = written(reads.select(F.col(ref).alias("ref")).where("ref is not null").distinct().withColumn("__n", F.monotonically_increasing_id()), "references")
+    src = reads.select(F.col(ref).alias("ref"), "seq").join(names, "ref").select(F.col("__n").alias("tag"), "seq")
+    part = src.mapInArrow(lambda it: _packed_counts(it, k, True), "tag bigint, word bigint, cnt bigint") if k <= 32 else windows(src, k, ["tag"]).select("tag", F.col("kmer").alias("word"), F.lit(1).cast("bigint").alias("cnt"))
+    return part.groupBy("tag", F.col("word").alias("kmer")).agg(F.sum("cnt").alias("cnt")).join(names, F.col("tag") == F.col("__n")).select("ref", "kmer", "cnt")
+
+
 def merge_counts(*tables: DataFrame) -> DataFrame:
     """Sum of saved counts."""
     out = tables[0]

@@ -2,26 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.dna import reverse_complement
-from readloom.operators.kmers import postings, windows
+from readloom.functions.arrow import gathered
+from readloom.functions.packed import Batch
+from readloom.functions.reads import numbered
+from readloom.operators import kmers as K
+from readloom.session import written
 
 
 def _texts(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(text_id, seq) of the distinct lists of sequences that a key has, and (text_id, key) of every key; text_id is the lowest key."""
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.upper("seq"))).alias("seqs")).select(key, "seqs", F.xxhash64("seqs").alias("h1"), F.xxhash64(F.lit(1), "seqs").alias("h2"))
-    ids = lists.groupBy("h1", "h2").agg(F.min(key).alias("text_id"), F.first("seqs").alias("seqs"))
+    """(text_id, seq) of the distinct lists of sequences that a key has, and (text_id, key) of every key; text_id is the lowest key, seq the list's sequences with N between them."""
+    lists = rows.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(F.upper("seq"))), "N").alias("seq")).select(key, "seq", F.xxhash64("seq").alias("h1"), F.xxhash64(F.lit(1), "seq").alias("h2"))
+    ids = lists.groupBy("h1", "h2").agg(F.min(key).alias("text_id"), F.min_by("seq", key).alias("seq"))
     copies = lists.select(key, "h1", "h2").join(ids.select("h1", "h2", "text_id"), ["h1", "h2"]).select("text_id", key)
-    return ids.select("text_id", F.explode("seqs").alias("seq")), copies
+    return ids.select("text_id", "seq"), copies
 
 
 class ReadIndex:
-    """A k-mer index of reads, kept as tables: posted (kmer, text_id, n) with one text for all reads of the same sequences, copies (text_id, read_id) and sizes (text_id, kmers)."""
+    """A k-mer index of reads, kept as tables: posted (kmer, text_id, n) with one text for all reads of the same sequences, copies (text_id, read_id) and sizes (text_id, kmers).
+
+    k-mers are keys (packed words for k <= 32), reads and queries have bigint ids.
+    """
 
     def __init__(self, posted: DataFrame, k: int, copies: DataFrame | None = None):
-        """posted: (kmer, read_id, n), or (kmer, text_id, n) with copies."""
+        """posted: (kmer, read_id, n), or (kmer, text_id, n) with copies; kmer as keys."""
         self.k = k
         self.posted = posted if copies is not None else posted.withColumnRenamed("read_id", "text_id")
         self.copies = copies if copies is not None else posted.select(F.col("read_id").alias("text_id"), "read_id").distinct()
@@ -31,16 +41,18 @@ class ReadIndex:
     @property
     def postings(self) -> DataFrame:
         """(kmer, read_id, n) of every read."""
-        return self.posted.join(self.copies, "text_id").select("kmer", "read_id", "n")
+        return K.spell(self.posted.join(self.copies, "text_id").select("kmer", "read_id", "n"), self.k)
 
     @classmethod
     def build(cls, reads: DataFrame, k: int = 24) -> ReadIndex:
-        texts, copies = _texts(reads, "read_id")
-        return cls(postings(texts, k, "text_id").withColumnRenamed("read_id", "text_id"), k, copies)
+        """Reads: (read_id bigint, seq); a read's rows are one text. The texts' postings are written once, for searches, sizes and caps alike."""
+        texts, copies = _texts(reads.where("read_id is not null"), "read_id")
+        posted, _ = written(K.read_kmers(texts, k, "text_id").select("kmer", F.col("id").alias("text_id"), "n"), "postings")
+        return cls(posted, k, written(copies, "copies")[0])
 
     @classmethod
     def load(cls, spark, path: str, k: int) -> ReadIndex:
-        return cls(spark.read.parquet(path), k)
+        return cls(K.keyed(spark.read.parquet(path), k), k)
 
     def save(self, path: str, buckets: int = 64) -> None:
         """Postings as Parquet, in ranges of k-mers, so that a lookup reads few row groups."""
@@ -57,10 +69,9 @@ class ReadIndex:
         hits over the k-mers of the query, or of the read (by='read'); rows with value >= least_value. Same queries and same reads are compared once; the pairs are spread over
         their copies at the end.
         """
-        texts, same = _texts(queries, "query")
-        w = windows(texts, self.k, ["text_id"])
-        q = w.groupBy(F.col("text_id").alias("q_id"), "kmer").agg(F.count("*").alias("m"))
-        size = w.groupBy(F.col("text_id").alias("q_id")).agg(F.count("*").alias("q_kmers"))
+        texts, same = _texts(queries.where("query is not null"), "query")
+        q, _ = written(K.read_kmers(texts, self.k, "text_id").select(F.col("id").alias("q_id"), "kmer", F.col("n").alias("m")), "asked")
+        size = q.groupBy("q_id").agg(F.sum("m").alias("q_kmers"))
         asked = q
         if self.settings["most_hits"] is not None:
             weights = self.copies.groupBy("text_id").agg(F.count("*").alias("w"))
@@ -82,24 +93,47 @@ class ReadIndex:
         return postings_histogram(self.postings)
 
 
-def first_positions(reference: DataFrame, k: int) -> DataFrame:
-    """(kmer, file, read_idx, name, pos) of the first occurrence of every canonical k-mer in order of file, read and position."""
-    at = F.struct("file", "read_idx", "pos")
-    return windows(reference, k, ["file", "read_idx", "name"]).groupBy("kmer").agg(F.min_by(F.struct("file", "read_idx", "name", "pos"), at).alias("x")).select("kmer", "x.*")
+def first_positions(reference: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(kmer, id, pos): read number and position of the first occurrence of every canonical k-mer (a key) in order of file, read and position, and the numbered reads with __id.
+
+    A k-mer's first position needs no text in the shuffle: reads are numbered in order, and their k-mers combined per read.
+    """
+    r = numbered(reference.select("file", "read_idx", "name", "seq"), "file", "read_idx")
+    return K.read_kmers(r, k, "__id").groupBy("kmer").agg(F.min_by("pos", "id").alias("pos"), F.min("id").alias("id")).select("kmer", "id", "pos"), r
+
+
+def hits(reference: DataFrame, target: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(id, pos) of the reference's k-mers that the target's reads hold too, at their first position, and the numbered reference reads."""
+    first, r = first_positions(reference, k)
+    return first.join(K.key_counts(target, k).select("kmer"), "kmer", "left_semi").select("id", "pos"), r
+
+
+def located(found: DataFrame, numbered_reads: DataFrame, *columns: str) -> DataFrame:
+    """columns of the numbered reads, and what was found in them."""
+    return found.join(numbered_reads.select(F.col("__id").alias("id"), *columns), "id").select(*columns, *[c for c in found.columns if c != "id"])
+
 
+def _ranges(batches: Iterator[pa.RecordBatch], k: int, reach: int) -> Iterator[pa.RecordBatch]:
+    """Ranges of each row's positions (id, list): a range goes on while the next position is at most `reach` further."""
+    for t in batches:
+        lists = t.column(1)
+        row, pos = np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy()), lists.flatten().to_numpy().astype(np.int64)
+        order = np.lexsort((pos, row))
+        row, pos = row[order], pos[order]
+        new = np.ones(len(pos), bool)
+        new[1:] = (row[1:] != row[:-1]) | (pos[1:] - pos[:-1] > reach)
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(pos)) - 1 if len(at) else at
+        yield pa.RecordBatch.from_arrays([t.column(0).take(pa.array(row[at])), pa.array(pos[at]), pa.array(pos[last] + k)], names=["id", "start", "stop"])
 
-def hits(first: DataFrame, target: DataFrame) -> DataFrame:
-    """Positions of the reference's k-mers that the target's k-mers (kmer) include."""
-    return first.join(target.select("kmer").distinct(), "kmer", "left_semi")
 
+def merge_hits(found: DataFrame, k: int, touching: bool = False) -> DataFrame:
+    """(id, start, stop): ranges of hits at adjacent positions (stop is the last start + k); touching also joins ranges that overlap or touch.
 
-def merge_hits(found: DataFrame, k: int, keys: list[str], touching: bool = False) -> DataFrame:
-    """keys, start, stop: ranges of hits at adjacent positions (stop is the last start + k); touching also joins ranges that overlap or touch."""
-    w = Window.partitionBy(*keys).orderBy("pos")
-    gap = F.col("pos") - F.lag("pos").over(w) > (k if touching else 1)
-    g = found.select(*keys, "pos").distinct().withColumn("__new", F.coalesce(gap, F.lit(True)).cast("int"))
-    g = g.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy(*keys, "__g").agg(F.min("pos").alias("start"), (F.max("pos") + k).alias("stop")).drop("__g")
+    found: (id bigint, pos), repeated rows count once. A read's positions, at most one a base, are one row.
+    """
+    lists = found.groupBy("id").agg(F.collect_list("pos").alias("pos"))
+    return lists.mapInArrow(lambda it: _ranges(it, k, k if touching else 1), "id bigint, start bigint, stop bigint")
 
 
 def squashed_loci(loci: DataFrame) -> DataFrame:
@@ -108,10 +142,70 @@ def squashed_loci(loci: DataFrame) -> DataFrame:
     return one.groupBy(F.upper("seq").alias("seq")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("_", "id", "parents"))), ";").alias("locus"))
 
 
-def find_loci(reads: DataFrame, loci: DataFrame, length: int, keep: list[str]) -> DataFrame:
-    """keep, pos, strand, locus seq: exact occurrences of locus sequences of `length` bases in the reads, on either strand (a palindrome on '+')."""
-    w = windows(reads, length, keep, both=False)
-    rc = reverse_complement(F.col("seq"))
-    both = loci.where(F.length("seq") == length).select("seq").distinct()
-    sides = both.select(F.col("seq").alias("kmer"), "seq", F.lit("+").alias("strand")).unionByName(both.where(rc != F.col("seq")).select(rc.alias("kmer"), "seq", F.lit("-").alias("strand")))
-    return w.join(sides, "kmer").select(*keep, "pos", "strand", F.col("seq").alias("locus_seq"))
+LOCI_AT_ONCE, BASES_AT_ONCE = 500_000, 50_000_000
+
+
+def _turned(text: str) -> str:
+    return text[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def _find(batches: Iterator[pa.RecordBatch], seeds: dict[int, tuple[np.ndarray, np.ndarray]], texts: list[tuple[str, str, str]]) -> Iterator[pa.RecordBatch]:
+    """Rows of the last column's texts that hold a wanted text: seeds are looked up as packed words, what follows a seed is compared base by base."""
+    sizes = np.array([len(x[0]) for x in texts])
+    for t in gathered(batches, "__seq", 1_000_000):
+        seqs = t.column("__seq")
+        b = Batch(seqs)
+        rows, at, which = [], [], []
+        for m, (words, owner) in seeds.items():
+            ok = np.flatnonzero(b.valid(m))
+            if not len(ok):
+                continue
+            word = b.packed(m)[ok]
+            lo, hi = np.searchsorted(words, word, "left"), np.searchsorted(words, word, "right")
+            n = hi - lo
+            hit = np.repeat(np.arange(len(ok)), n)
+            into = np.repeat(lo, n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+            rows.append(b.row[ok[hit]])
+            at.append(ok[hit] - b.starts[rows[-1]])
+            which.append(owner[into])
+        if not rows:
+            continue
+        rows, at, which = (np.concatenate(x) for x in (rows, at, which))
+        fits = at + sizes[which] <= b.lengths[rows]
+        for i in np.flatnonzero(fits & (sizes[which] > 32)):
+            text = texts[which[i]][0]
+            fits[i] = seqs[int(rows[i])].as_py()[at[i] : at[i] + len(text)] == text
+        rows, at, which = rows[fits], at[fits], which[fits]
+        kept = t.drop_columns(["__seq"]).take(pa.array(rows))
+        found = [pa.array(at.astype(np.int32)), pa.array([texts[w][2] for w in which], pa.string()), pa.array([texts[w][1] for w in which], pa.string())]
+        yield from pa.Table.from_arrays([*kept.columns, *found], names=[*kept.schema.names, "pos", "strand", "locus_seq"]).to_batches()
+
+
+def find_loci(reads: DataFrame, loci: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, pos, strand, locus_seq: exact occurrences of locus sequences of any length in the reads, on either strand (a palindrome on '+').
+
+    The first 32 bases (all, if there are fewer) are looked up as packed words, the rest is compared. The reads are passed over without a shuffle, once for every
+    500,000 distinct loci (or 50 million bases of them), so what is sent to the tasks stays bounded however many there are. Case does not matter; null, empty and 'NONE' loci, and loci
+    with anything but A C G T, are found nowhere.
+    """
+    distinct = loci.select(F.upper("seq").alias("seq")).where(F.col("seq").rlike("^[ACGT]+$")).distinct()
+    n, bases = distinct.agg(F.count("*"), F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()
+    slices = max(1, -(-n // LOCI_AT_ONCE), -(-bases // BASES_AT_ONCE))
+    fields = {f.name: f.dataType.simpleString() for f in reads.schema}
+    schema = ", ".join([f"`{c}` {fields[c]}" for c in keep] + ["pos int, strand string, locus_seq string"])
+    src, out = reads.select(*keep, F.upper("seq").alias("__seq")), []
+    for i in range(slices):
+        chosen = sorted(r[0] for r in (distinct if slices == 1 else distinct.where(F.pmod(F.xxhash64("seq"), F.lit(slices)) == i)).collect())
+        texts = [(x, x, "+") for x in chosen] + [(_turned(x), x, "-") for x in chosen if _turned(x) != x]
+        seeds = {}
+        for m in sorted({min(len(x[0]), 32) for x in texts}):
+            owner = np.array([j for j, x in enumerate(texts) if min(len(x[0]), 32) == m])
+            b = Batch(pa.array([texts[j][0][:m] for j in owner]))
+            word = b.packed(m)[b.starts]
+            order = np.argsort(word, kind="stable")
+            seeds[m] = (word[order], owner[order])
+        out.append(src.mapInArrow(lambda it, seeds=seeds, texts=texts: _find(it, seeds, texts), schema))
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found

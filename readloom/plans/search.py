@@ -78,13 +78,12 @@ ht AS (SELECT x.file AS file, x.read_idx AS read_idx, x.name AS name, x.pos AS p
 
 def hit_positions(spark, d):
     r = reads(spark, d)
-    target = K.windows(r.where("file not like '%.fasta'"), 16, ["name"])
-    return S.hits(S.first_positions(r.where("file like '%.fasta'"), 16), target)
+    return S.hits(r.where("file like '%.fasta'"), r.where("file not like '%.fasta'"), 16)
 
 
 @query("j5_hit_positions", f"{HITS} SELECT file, read_idx, name, pos FROM ht")
 def j5(spark, d):
-    return hit_positions(spark, d).select("file", "read_idx", "name", "pos")
+    return S.located(*hit_positions(spark, d), "file", "read_idx", "name")
 
 
 def merge_sql(gap: int) -> str:
@@ -94,12 +93,14 @@ g AS (SELECT *, sum(new) OVER (PARTITION BY file, read_idx ORDER BY pos) AS g FR
 
 @query("w6_merged_hits", merge_sql(1))
 def w6(spark, d):
-    return S.merge_hits(hit_positions(spark, d), 16, ["file", "read_idx"])
+    found, r = hit_positions(spark, d)
+    return S.located(S.merge_hits(found, 16), r, "file", "read_idx")
 
 
 @query("w6_merged_hits_touching", merge_sql(16))
 def w6_touch(spark, d):
-    return S.merge_hits(hit_positions(spark, d), 16, ["file", "read_idx"], touching=True)
+    found, r = hit_positions(spark, d)
+    return S.located(S.merge_hits(found, 16, touching=True), r, "file", "read_idx")
 
 
 @query("o4_squashed_loci", """WITH one AS (SELECT upper(seq) AS seq, id1 || '_' || id2 AS id, string_agg(DISTINCT parent, '' ORDER BY parent) AS parents FROM loci WHERE seq NOT IN ('NONE', '') GROUP BY ALL)
@@ -115,12 +116,12 @@ fl AS (SELECT name, pos, strand, sd.seq AS locus_seq FROM lw JOIN sd USING (kmer
 
 @query("j7_find_loci", f"{LOCI} SELECT name, pos, strand, locus_seq FROM fl")
 def j7(spark, d):
-    return S.find_loci(one(spark, d), table(spark, d, "loci"), 32, ["name"])
+    return S.find_loci(one(spark, d), table(spark, d, "loci"), ["name"])
 
 
 @query("r8_reads_by_locus", f"{LOCI} SELECT locus_seq, count(DISTINCT name) AS n_reads, string_agg(DISTINCT name, ' ' ORDER BY name) AS names FROM fl GROUP BY locus_seq")
 def r8(spark, d):
-    f = S.find_loci(one(spark, d), table(spark, d, "loci"), 32, ["name"])
+    f = S.find_loci(one(spark, d), table(spark, d, "loci"), ["name"])
     return f.groupBy("locus_seq").agg(F.count_distinct("name").alias("n_reads"), F.array_join(F.array_sort(F.collect_set("name")), " ").alias("names"))
 
 
@@ -241,8 +242,7 @@ def r5(spark, d):
 @query("j18_kmer_set_pairs", f"""WITH {READS}, {windows_sql(16, keep='file', name='sw')}, s AS (SELECT DISTINCT file, kmer FROM sw), n AS (SELECT file AS ref_a, count(*) AS size FROM s GROUP BY file),
 p AS (SELECT a.file AS ref_a, b.file AS ref_b, count(*) AS shared FROM s a JOIN s b USING (kmer) WHERE a.file <> b.file GROUP BY ALL) SELECT ref_a, ref_b, shared, round(shared / size, 6) AS identity FROM p JOIN n USING (ref_a)""")
 def j18(spark, d):
-    s = K.windows(reads(spark, d), 16, ["file"]).groupBy(F.col("file").alias("ref"), "kmer").agg(F.count("*").alias("cnt"))
-    return K.shared_identity(s)
+    return K.shared_identity(K.reference_counts(reads(spark, d), 16, "file"))
 
 
 @query("f6_bare_names", "SELECT out_id, regexp_extract(read_name, '^\\s*[>@]?([^\\s]*)', 1) AS name, regexp_replace(read_name, '^\\S+\\s+', '') AS rest FROM thread_output")
