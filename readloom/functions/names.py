@@ -124,13 +124,12 @@ def direction_hint(name: Column) -> Column:
 def joined_n_splits(records: DataFrame) -> DataFrame:
     """Reads (file, read_idx, name, seq, qual) with the pieces of N-split reads joined: a record named 'n<a>-<b>:<c>.<length>.<quality>' adds so many Ns of that quality and its own
     sequence to the read before it in the file."""
-    from pyspark.sql import Window
+    from readloom.operators.order import Ordered
 
     p = r"^n\d+-\d+:\d+\.(\d+)\.(\d+)"
-    w = Window.partitionBy("file").orderBy("read_idx").rowsBetween(Window.unboundedPreceding, 0)
     more = F.col("name").rlike(p)
     n, q = F.regexp_extract("name", p, 1).try_cast("int"), F.regexp_extract("name", p, 2).try_cast("int")
-    r = records.withColumn("__g", F.sum((~more).cast("int")).over(w))
+    r = Ordered(records.select("file", "read_idx", "name", "seq", "qual"), "file", "read_idx").running((~more).cast("int"), "__g")
     piece = F.struct("read_idx", F.when(more, F.concat(F.repeat(F.lit("N"), n), "seq")).otherwise(F.col("seq")).alias("s"), F.when(more, F.concat(F.array_repeat(q, n), "qual")).otherwise(F.col("qual")).alias("q"), F.when(~more, F.col("name")).alias("name"))
     g = r.groupBy("file", "__g").agg(F.array_sort(F.collect_list(piece)).alias("p"))  # the pieces of one read
     return g.select("file", F.col("p")[0]["read_idx"].alias("read_idx"), F.col("p")[0]["name"].alias("name"), F.array_join(F.transform("p", lambda x: x["s"]), "").alias("seq"), F.flatten(F.transform("p", lambda x: x["q"])).alias("qual"))

@@ -173,11 +173,11 @@ def ranked_choice(best: DataFrame) -> DataFrame:
 def reduce_duplicates(matches: DataFrame, repeat: bool = False, most_rounds: int = 100) -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """(duplicates (read, kept), rounds): reads replaced by a better one; rounds lists (orphans, duplicates, new). With repeat, rounds go on over the reads left until nothing new.
 
-    A round ranks over all remaining matches; an orphan's replacement is itself replaced. Lineage is cut by a written table each round.
+    If most_rounds do not suffice it raises. A round ranks over all remaining matches; an orphan's replacement is itself replaced. Lineage is cut by a written table each round.
     """
     spark = matches.sparkSession
     rounds, found, left = [], None, matches
-    while len(rounds) < most_rounds:
+    while True:
         choice, path = written(ranked_choice(best_reads(left)), "choice")
         new = choice.where("read <> kept")
         other = choice.select(F.col("read").alias("kept"), F.col("kept").alias("next"))
@@ -190,6 +190,8 @@ def reduce_duplicates(matches: DataFrame, repeat: bool = False, most_rounds: int
         if not repeat:
             break
         gone = new.select("read")
+        if len(rounds) == most_rounds:
+            raise RuntimeError(f"still new duplicates after {most_rounds} rounds")
         left, _ = written(left.join(gone.withColumnRenamed("read", "read1"), "read1", "left_anti").join(gone.withColumnRenamed("read", "read2"), "read2", "left_anti"), "left")
     if found is None:
         found = spark.createDataFrame([], "read string, kept string")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readloom.functions.dna import reverse_complement
 from readloom.functions.names import mate_base, mate_number
+from readloom.operators.order import Ordered
 
 
 def mates(reads: DataFrame, base: Column | None = None, number: Column | None = None, keep: tuple[str, ...] = ("name", "seq")) -> DataFrame:
@@ -33,12 +34,10 @@ def pair_duplicates(pairs: DataFrame, length: int, order: str = "base") -> DataF
 
 
 def singletons(reads: DataFrame, file: str = "file", order: str = "read_idx", base: Column | None = None) -> DataFrame:
-    """Reads with neither neighbour (by order in the file) of the same base name."""
-    b = base if base is not None else mate_base(F.col("name"))
-    w = Window.partitionBy(file).orderBy(order)
-    r = reads.withColumn("__b", b)
-    r = r.withColumns({"__p": F.lag("__b").over(w), "__n": F.lead("__b").over(w)})
-    return r.where(~(F.col("__b").eqNullSafe(F.col("__p")) | F.col("__b").eqNullSafe(F.col("__n")))).drop("__b", "__p", "__n")
+    """Reads with neither neighbour (by order in the file) of the same base name; a read without file has no neighbours."""
+    r = Ordered(reads.withColumn("__b", base if base is not None else mate_base(F.col("name"))), file, order).with_neighbours("__b", file).df
+    beside = lambda side: (F.col(f"__{side}_{file}") == F.col(file)) & F.col(f"__{side}___b").eqNullSafe(F.col("__b"))
+    return r.where(~(F.coalesce(beside("prev"), F.lit(False)) | F.coalesce(beside("next"), F.lit(False)))).select(*reads.columns)
 
 
 def concatenated_pairs(pairs: DataFrame, least: int, linker: str | None = None, insert: int = 48) -> DataFrame:
@@ -119,22 +118,12 @@ def interleave(left: DataFrame, right: DataFrame, key: str = "n", value: str = "
 
 
 def even_chunks(df: DataFrame, order: str, chunks: int) -> DataFrame:
-    """df with chunk 0..chunks-1 of consecutive rows in order, the first ones one row longer. The row number comes from counts of value ranges, not from one sorted partition."""
-    spark = df.sparkSession
-    parts = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
-    sizes = {r[0]: r[1] for r in parts.groupBy("__p").count().collect()}  # one row a partition
-    total, before, offsets = sum(sizes.values()), 0, []
-    for p in sorted(sizes):
-        offsets.append((p, before))
-        before += sizes[p]
-    if not offsets:
-        return df.withColumn("chunk", F.lit(0).cast("bigint"))
+    """df with chunk 0..chunks-1 of consecutive rows in order, the first ones one row longer. Rows are numbered over the ranges of one written table, not in one sorted partition."""
+    rows, total = Ordered(df, order).numbered("__n")
     base, rest = divmod(total, chunks)
-    at = F.broadcast(spark.createDataFrame(offsets, "__p int, __o bigint"))
-    n = F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1 + F.col("__o")
     cut = rest * (base + 1)
-    chunk = F.when(F.col("__i") < cut, F.expr(f"__i div {base + 1}")).otherwise(F.expr(f"{rest} + (__i - {cut}) div {max(base, 1)}"))
-    return parts.join(at, "__p").withColumn("__i", n).withColumn("chunk", chunk.cast("bigint")).drop("__p", "__o", "__i")
+    chunk = F.when(F.col("__n") < cut, F.expr(f"__n div {base + 1}")).otherwise(F.expr(f"{rest} + (__n - {cut}) div {max(base, 1)}"))
+    return rows.withColumn("chunk", chunk.cast("bigint")).drop("__n")
 
 
 def pack_files(sizes: dict[str, int], bins: int, trials: int = 10) -> list[list[str]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from readloom.operators.order import Ordered
+
 
 def quality_stats(reads: DataFrame, step: int = 50, least: int = 20, keys: tuple[str, ...] = ("file",)) -> DataFrame:
     """(keys, n_reads, n_bases, n_high, n_failed) per file and, with null keys, over all: bases of quality >= 20 and reads with fewer than `least` of them."""
@@ -57,11 +59,11 @@ def library_stats(reads: DataFrame, good: int = 400) -> DataFrame:
 
 
 def longest_subreads(rows: DataFrame, order: list[str], hole: str = "hole_number") -> DataFrame:
-    """(hole, length): the longest of adjacent rows (in order) of the same hole."""
-    w = Window.partitionBy(order[0]).orderBy(*order[1:])
-    g = rows.withColumn("__n", F.coalesce((F.col(hole) != F.lag(hole).over(w)).cast("int"), F.lit(1)))
-    g = g.withColumn("__g", F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return g.groupBy(order[0], "__g", hole).agg(F.max("length").alias("length")).select(hole, "length")
+    """(hole, length): the longest of adjacent rows (in order; a new first order column starts anew) of the same hole. A null hole is alone."""
+    part = order[0]
+    o = Ordered(rows.select(*dict.fromkeys([*order, hole, "length"])), *order).with_neighbours(*dict.fromkeys([hole, part]))
+    goes_on = F.coalesce((F.col(hole) == F.col(f"__prev_{hole}")) & F.col(part).eqNullSafe(F.col(f"__prev_{part}")), F.lit(False))
+    return o.running((~goes_on).cast("int"), "__g").groupBy("__g", hole).agg(F.max("length").alias("length")).select(hole, "length")
 
 
 def length_table(lengths: DataFrame, step: int = 1000, genome: int | None = None) -> DataFrame:
