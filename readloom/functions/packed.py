@@ -29,6 +29,7 @@ class Batch:
         self.n = len(seqs)
         self.starts = bounds[:-1] - bounds[0]
         self.lengths = np.diff(bounds)
+        self.raw = raw
         self.codes = _CODE[raw]
         self.row = np.repeat(np.arange(self.n, dtype=np.int32), self.lengths)
 

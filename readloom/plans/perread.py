@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from readloom.functions import names as N
@@ -10,7 +12,7 @@ from readloom.operators import prep as P
 from readloom.operators import reads as R
 from readloom.operators import repair as X
 from readloom.plans.masking import ONE, one
-from readloom.plans.sqlkit import READS, reads
+from readloom.plans.sqlkit import READS, reads, windows_sql
 from readloom.plans.tables import PSL, psl
 from readloom.session import table
 
@@ -36,9 +38,15 @@ def p12(spark, d):
     return one(spark, d).select("name", R.trim_n(F.upper("seq")).alias("seq"))
 
 
-@query("repeat_tail_clip")
+BASES = "bs AS (SELECT name, p - 1 AS pos, substr(seq, p, 1) AS b, length(seq) AS n FROM (SELECT name, {seq} AS seq, unnest(range(1, length(seq) + 1)) AS p FROM one))"
+
+
+@query("repeat_tail_clip", f"""{ONE}, {BASES.format(seq="seq")}, c AS (SELECT *, CASE WHEN b = lag(b) OVER (PARTITION BY name ORDER BY pos) THEN 0 ELSE 1 END AS new FROM bs),
+r AS (SELECT *, sum(new) OVER (PARTITION BY name ORDER BY pos) AS run FROM c), e AS (SELECT *, max(run) OVER (PARTITION BY name) - run + 1 AS runs, max(pos) OVER (PARTITION BY name, run) + 1 AS stop FROM r),
+t AS (SELECT name, min(pos) AS tail FROM e WHERE pos > 0 AND n - pos >= runs * 2.5 GROUP BY name),
+k AS (SELECT name, min(pos) AS cut FROM e JOIN t USING (name) WHERE (pos = tail OR (new = 1 AND pos > tail)) AND stop - pos >= 2 GROUP BY name) SELECT name, coalesce(cut, length(seq))::BIGINT AS q_stop FROM one LEFT JOIN k USING (name)""")
 def p3(spark, d):
-    return P.per_read(one(spark, d).withColumn("n", F.length("seq")), lambda s, n: (P.repeat_tail(s, 0, n, 2.5),), ["seq", "n"], ["name"], "q_stop bigint")
+    return P.per_batch(one(spark, d), lambda b: [P.repeat_tails(b, 2.5)], "seq", ["name"], "q_stop bigint")
 
 
 @query("strict_window_clip")
@@ -46,9 +54,35 @@ def p4(spark, d):
     return P.per_read(one(spark, d), lambda s, q: P.strict_window(q, [(0, len(s))], 25, s, 0.8), ["seq", "qual"], ["name"], "q_start bigint, q_stop bigint")
 
 
-@query("linker_range_clip")
+# the gap between flagged bases that a base lies in
+GAP_SQL = "CASE WHEN {f} THEN 0 ELSE coalesce(first_value(CASE WHEN {f} THEN pos END IGNORE NULLS) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - last_value(CASE WHEN {f} THEN pos END IGNORE NULLS) OVER (PARTITION BY name ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1, 1000000) END"
+LINKED = f"""{ONE}, {BASES.format(seq="upper(seq)")}, {windows_sql(12, "one", canonical=False, name="lw")}, lh AS (SELECT name, pos FROM lw WHERE kmer IN ({', '.join(repr(x) for x in sorted(LINKERS))})),
+cv AS (SELECT bs.*, count(lh.pos) OVER (PARTITION BY bs.name ORDER BY bs.pos ROWS 11 PRECEDING) > 0 AS covered FROM bs LEFT JOIN lh ON bs.name = lh.name AND bs.pos = lh.pos WHERE bs.name IN (SELECT name FROM lh)),
+mk AS (SELECT *, covered OR (b = 'N' AND {GAP_SQL.format(f="covered")} < 18) AS marked FROM cv), wh AS (SELECT *, {GAP_SQL.format(f="marked")} <= 5 AS whole FROM mk),
+rg AS (SELECT name, min(pos) AS a, max(pos) + 1 AS e, min(n) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY name ORDER BY pos) AS g FROM wh WHERE whole) GROUP BY name, g HAVING bool_or(covered)),
+fr AS (SELECT name, min(a) AS first FROM rg WHERE e - a >= 18 OR n - a <= 36 OR e <= 36 GROUP BY name)"""
+
+
+@query("linker_range_clip", f"{LINKED} SELECT name, 0::BIGINT AS start, (CASE WHEN coalesce(first, length(seq)) < 50 THEN 0 ELSE coalesce(first, length(seq)) END)::BIGINT AS stop FROM one LEFT JOIN fr USING (name)")
 def p14(spark, d):
-    return P.per_read(one(spark, d), lambda s: P.clip_linker(s.upper(), 0, len(s), LINKERS, 12, 50), ["seq"], ["name"], "start bigint, stop bigint")
+    words = P.packed_words(LINKERS, 12)
+    return P.per_batch(one(spark, d), lambda b: list(P.linker_clips(b, np.zeros(b.n, np.int64), b.lengths, words, 12, 50)), "seq", ["name"], "start bigint, stop bigint")
+
+
+@query("linker_ranges", f"{LINKED} SELECT name, a AS start, e AS stop FROM rg")
+def j19(spark, d):
+    """All linker ranges (J19: membership of k-mers in the linkers' set)."""
+    words = P.packed_words(LINKERS, 12)
+
+    def ranges(b):
+        row, start, stop = P.linker_ranges(b, words, 12)
+        lists = [[] for _ in range(b.n)]
+        for i, x, y in zip(row.tolist(), start.tolist(), stop.tolist(), strict=True):
+            lists[i].append({"start": x, "stop": y})
+        return [pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))]
+
+    each = P.per_batch(one(spark, d), ranges, "seq", ["name"], "r array<struct<start:bigint,stop:bigint>>")
+    return each.select("name", F.explode("r").alias("r")).select("name", "r.start", "r.stop")
 
 
 @query("poly_trim")
@@ -61,19 +95,24 @@ c AS (SELECT name, w, n, count(*) AS c FROM t WHERE regexp_full_match(w, '[ACGT]
 SELECT name, round(k * s / n / (n - k), 9) AS score FROM m WHERE k <= 2 AND n > k""")
 def p16(spark, d):
     """Reads with at most two repeated triplets, for which the score has no cluster step."""
-    from collections import Counter
 
-    def f(s):
-        c = Counter(w for w in (s[i : i + 3] for i in range(len(s) - 2)) if set(w) <= set("ACGT"))
-        return (sum(v > 1 for v in c.values()) if c else -1, round(P.simple_score(s, 0, len(s)), 9))
+    def scored(b):
+        at = np.flatnonzero(b.valid(3))
+        c = np.bincount(b.row[at].astype(np.int64) * 64 + b.packed(3)[at].astype(np.int64), minlength=b.n * 64).reshape(b.n, 64)
+        return [np.where(c.any(axis=1), (c > 1).sum(axis=1), -1), np.round(P.simple_scores(b, np.zeros(b.n, np.int64), b.lengths), 9)]
 
-    r = P.per_read(one(spark, d).withColumn("u", F.upper("seq")), f, ["u"], ["name"], "k bigint, score double")
+    r = P.per_batch(one(spark, d), scored, "seq", ["name"], "k bigint, score double")
     return r.where("k between 0 and 2 and score < 1").select("name", "score")
 
 
-@query("simple_scores")
+@query("simple_scores", f"""{ONE}, {windows_sql(3, "one", canonical=False, name="tw")}, ct AS (SELECT name, kmer, count(*) AS c FROM tw GROUP BY ALL), has AS (SELECT DISTINCT name FROM ct),
+mn AS (SELECT name, c, row_number() OVER w - 1 AS r, count(*) OVER (PARTITION BY name) AS m, max(c) OVER (PARTITION BY name) AS top, sum(c) OVER w - c AS below FROM ct WHERE c > 1 WINDOW w AS (PARTITION BY name ORDER BY c, kmer ROWS UNBOUNDED PRECEDING)),
+cu AS (SELECT name, min(r) AS cut FROM mn WHERE m > 2 AND r >= 1 AND (r >= m - 1 OR c - below // greatest(r, 1) >= top - c) GROUP BY name),
+sm AS (SELECT name, any_value(m) AS m, sum(c * (c - 1)) AS s, sum(c * (c - 1)) FILTER (r >= cut) AS hs, count(*) FILTER (r >= cut) AS hn, sum(c) FILTER (r >= cut) / count(*) FILTER (r >= cut) - sum(c) FILTER (r < cut) / count(*) FILTER (r < cut) AS apart FROM mn LEFT JOIN cu USING (name) GROUP BY name),
+f AS (SELECT one.name, length(seq) - 2 AS n, has.name IS NOT NULL AS holds, CASE WHEN m > 2 AND apart > 10 THEN hn WHEN m > 2 THEN least(m, 4) ELSE coalesce(m, 0) END AS k, CASE WHEN m > 2 AND apart > 10 THEN hs ELSE coalesce(s, 0) END AS s FROM one LEFT JOIN has USING (name) LEFT JOIN sm USING (name))
+SELECT name, CASE WHEN holds AND n > k THEN round(k * s / n / (n - k), 9) ELSE 1.0::DOUBLE END AS score FROM f""")
 def p16_all(spark, d):
-    return P.per_read(one(spark, d), lambda s: (P.simple_score(s.upper(), 0, len(s)),), ["seq"], ["name"], "score double")
+    return P.per_batch(one(spark, d), lambda b: [np.round(P.simple_scores(b, np.zeros(b.n, np.int64), b.lengths), 9)], "seq", ["name"], "score double")
 
 
 @query("i4_prepared_reads")
