@@ -52,7 +52,8 @@ def _words(batch: Batch, k: int) -> tuple[np.ndarray, np.ndarray]:
     ok = batch.valid(k)
     row, word = batch.row[: len(ok)][ok].astype(np.uint64), batch.canonical(k)[ok]
     if 2 * k + max(batch.n, 1).bit_length() <= 64:
-        both = np.unique((row << np.uint64(2 * k)) | word)
+        both = np.sort((row << np.uint64(2 * k)) | word)
+        both = both[first_of_runs(both)]
         return (both >> np.uint64(2 * k)).astype(np.int64), both & np.uint64((1 << 2 * k) - 1)
     order = np.lexsort((word, row))
     row, word = row[order], word[order]
@@ -110,7 +111,11 @@ def _verify(batches: Iterator[pa.RecordBatch], k: int, threshold: float) -> Iter
         for c in ("seq_a", "seq_b"):
             row, word = _words(Batch(t.column(c)), k)
             keys.append(np.rec.fromarrays([row, word]) if 2 * k > 40 else (row.astype(np.uint64) << np.uint64(2 * k)) | word)
-        shared = np.intersect1d(*keys, assume_unique=True)
+        if 2 * k > 40:
+            shared = np.intersect1d(*keys, assume_unique=True)
+        else:
+            shared = np.sort(np.concatenate(keys))
+            shared = shared[:-1][shared[1:] == shared[:-1]]
         rows = shared["f0"] if 2 * k > 40 else (shared >> np.uint64(2 * k)).astype(np.int64)
         both = np.bincount(rows, minlength=t.num_rows)
         either = t.column("n_a").to_numpy() + t.column("n_b").to_numpy() - both
