@@ -217,7 +217,7 @@ def u4(spark, d):
     return K.presence_counts(ref_counts(spark, d)).groupBy("n_refs").agg(F.count("*").alias("n"))
 
 
-@query("j2_library_counts_of_reference", f"{refs_sql()} SELECT r.kmer, coalesce(l.cnt, 0) AS lib FROM (SELECT kmer FROM rc WHERE ref = 'lib4') r LEFT JOIN (SELECT kmer, cnt FROM rc WHERE ref = 'other') l USING (kmer)")
+@query("j2_library_counts_of_reference", f"{refs_sql()} SELECT kmer, coalesce(max(cnt) FILTER (ref = 'other'), 0) AS lib FROM rc WHERE ref IN ('lib4', 'other') GROUP BY kmer HAVING bool_or(ref = 'lib4')")
 def j2(spark, d):
     c = ref_counts(spark, d)
     lib = c.where("ref = 'other'").select("kmer", F.col("cnt").alias("lib"))

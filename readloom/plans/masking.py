@@ -43,7 +43,7 @@ def mask_sql(x: int, k: int = KM) -> str:
 s AS (SELECT *, CASE WHEN c >= {x} THEN 1 WHEN c < least(pos, stop - {k}) - CASE WHEN pos <= stop - {k} THEN greatest(start, pos - {k - 1}) ELSE pos - {k - 1} END + 1 THEN 0 END AS state FROM c),
 f AS (SELECT *, last_value(state IGNORE NULLS) OVER (PARTITION BY name, start ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l,
   first_value(state IGNORE NULLS) OVER (PARTITION BY name, start ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS r FROM s),
-mk AS (SELECT name, pos FROM f WHERE coalesce(state, CASE WHEN l = 1 THEN 1 END, r, 0) = 1)"""
+mk AS MATERIALIZED (SELECT name, pos FROM f WHERE coalesce(state, CASE WHEN l = 1 THEN 1 END, r, 0) = 1)"""
 
 
 def masked(spark, d, x=1):
@@ -60,12 +60,12 @@ def w2_x(spark, d):
     return M.masked_positions(masked(spark, d, 3))
 
 
-ANCHOR = f"""{ONE}, {mask_sql(1)}, op AS (SELECT bs.name, bs.pos, one.qual[bs.pos + 1] AS q FROM bs JOIN one USING (name) LEFT JOIN mk ON bs.name = mk.name AND bs.pos = mk.pos WHERE mk.pos IS NULL AND b SIMILAR TO '[ACGTacgt]'),
-st AS (SELECT name, min(pos) AS a, max(pos) AS b FROM (SELECT *, pos - row_number() OVER (PARTITION BY name ORDER BY pos) AS g FROM op) GROUP BY name, g HAVING count(*) FILTER (q >= 20) >= 15),
-en AS (SELECT name, min(a) AS lo, max(b) AS hi FROM st GROUP BY name)"""
+ANCHOR = f"""{ONE}, {mask_sql(1)}, op AS MATERIALIZED (SELECT bs.name, bs.pos, b, one.qual[bs.pos + 1] AS q, mk.pos IS NOT NULL AS masked FROM bs JOIN one USING (name) LEFT JOIN mk ON bs.name = mk.name AND bs.pos = mk.pos),
+st AS (SELECT name, min(pos) AS a, max(pos) AS b FROM (SELECT *, pos - row_number() OVER (PARTITION BY name ORDER BY pos) AS g FROM op WHERE NOT masked AND b SIMILAR TO '[ACGTacgt]') GROUP BY name, g HAVING count(*) FILTER (q >= 20) >= 15),
+en AS MATERIALIZED (SELECT name, min(a) AS lo, max(b) AS hi FROM st GROUP BY name)"""
 
 
-@query("w3_anchored_mask", f"{ANCHOR} SELECT mk.name, mk.pos FROM mk LEFT JOIN en USING (name) WHERE lo IS NULL OR mk.pos < lo OR mk.pos > hi")
+@query("w3_anchored_mask", f"{ANCHOR} SELECT op.name, op.pos FROM op LEFT JOIN en USING (name) WHERE masked AND (lo IS NULL OR op.pos < lo OR op.pos > hi)")
 def w3(spark, d):
     return M.masked_positions(M.anchored_mask(masked(spark, d), 15))
 
