@@ -155,6 +155,28 @@ def test_term_counts(spark):
     assert got == {"a": (3, 1), "b": (3, 2), "c": (1, 1)}
 
 
+def test_term_counts_over_many_parts(spark):
+    """Terms in every record, records in many rows and partitions, and batches much smaller than a term."""
+    from readloom.llm.term_counts import term_counts
+
+    rnd = random.Random(5)
+    rows = [(rnd.randrange(400), " ".join(rnd.choice(["the", "of", "a", f"w{rnd.randrange(300)}"]) for _ in range(12)), "x") for _ in range(3000)]
+    want_n, want_r = Counter(), defaultdict(set)
+    for i, text, _ in rows:
+        for w in text.split():
+            want_n[w] += 1
+            want_r[w].add(i)
+    df = spark.createDataFrame(rows, "id int, text string, term string").repartition(13)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "97")
+    try:
+        got = {r.term: (r.occurrences, r.records, r.mark) for r in term_counts(df, "id", F.split("text", " "), 20, 300).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {w: (n, len(want_r[w]), "rare" if len(want_r[w]) < 20 else "common" if len(want_r[w]) >= 300 else "kept") for w, n in want_n.items()}
+    assert term_counts(df.limit(0), "id", F.split("text", " "), 1, 2).count() == 0
+
+
 def test_connected_groups(spark):
     from readloom.llm.groups import connected_groups
 
