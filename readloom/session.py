@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +30,14 @@ def build(app: str = "readloom", master: str = "local[8]", **conf: str) -> Spark
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or a new one of ours where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir of the session, or, on a single machine (tests), a new one of ours where that is unset.
+
+    On a cluster an unset spark.checkpoint.dir raises: executors' own temporary folders do not hold tables.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="readloom-")
@@ -67,10 +74,30 @@ def written(df: DataFrame, name: str = "t") -> tuple[DataFrame, str]:
     base = f"{shared_folder(spark)}/readloom-{spark.sparkContext.applicationId}"
     _remember(spark, base)
     path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside the block go when it ends; for results that are written or collected within it.
+
+        with scratch(spark):
+            connected_groups(links).write.parquet(target)
+    """
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            drop_table(spark, path)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table made by written()."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
