@@ -2,7 +2,7 @@
 
 import importlib
 
-_THEMES = ("core", "kmers", "masking", "clipping", "search", "tables", "perread")
+_THEMES = ("core", "kmers", "masking", "clipping", "search", "tables", "perread", "nameforms")
 
 
 def modules() -> list:
