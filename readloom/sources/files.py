@@ -1,13 +1,16 @@
-"""Sequence and alignment file formats as Python data sources: readloom_fasta, readloom_fastq, readloom_blast, readloom_match, readloom_bam.
+"""Sequence and alignment file formats as Python data sources: readloom_fasta, readloom_fastq, readloom_blast, readloom_match,
+readloom_bam, readloom_lines.
 
-Plain FASTA and FASTQ files are cut into byte ranges that synchronise on a record's start; compressed files (.gz .bz2 .xz .lzma .zst) and BAM are one
-partition each. Paths are files, directories or glob patterns every executor can read.
+Plain FASTA and FASTQ files are cut into byte ranges that synchronise on a record's start, BAM files into ranges that synchronise on a compressed block and the first record in
+it; other compressed files (.gz .bz2 .xz .lzma .zst .Z) are one partition each. Paths are files, directories or glob patterns every executor can read: local or mounted ones, or
+URIs of a file system that Arrow knows (hdfs://, s3://, gs://, file://).
 
     register(spark); spark.read.format("readloom_fastq").load("/shared/run1/*.fastq")
 """
 
 from __future__ import annotations
 
+import fnmatch
 import glob
 import io
 import os
@@ -20,17 +23,28 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SPLIT = 64 << 20
-SUFFIXES = (".gz", ".bz2", ".xz", ".lzma", ".zst", ".bam")
+SUFFIXES = (".gz", ".bz2", ".xz", ".lzma", ".zst", ".Z")
+
+
+def _remote(path: str):
+    """(file system, path in it) of a URI, None for a plain path."""
+    if "://" not in path:
+        return None
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
 
 
 def expand(path: str) -> list[str]:
-    """Files of a path, directory, glob pattern or comma list; a file '@list' names one path per line."""
+    """Files of a path, directory, glob pattern (in the last part of a URI) or comma list; a file '@list' names one path per line."""
     out: list[str] = []
     for p in path.split(","):
         p = p.strip()
         if p.startswith("@"):
-            with open(p[1:]) as f:
-                out += [x for line in f if line.strip() for x in expand(line.strip())]
+            with raw(p[1:]) as f:
+                out += [x for line in f.read().decode().splitlines() if line.strip() for x in expand(line.strip())]
+        elif "://" in p:
+            out += _expand_remote(p)
         elif os.path.isdir(p):
             out += sorted(os.path.join(d, f) for d, _, fs in os.walk(p) for f in fs if not f.startswith((".", "_")))
         else:
@@ -38,25 +52,54 @@ def expand(path: str) -> list[str]:
     return out
 
 
+def _expand_remote(uri: str) -> list[str]:
+    from pyarrow import fs
+
+    head, last = uri.rstrip("/").rsplit("/", 1)
+    wild = any(c in last for c in "*?[")
+    system, path = _remote(head if wild else uri)
+    if not wild and system.get_file_info(path).type != fs.FileType.Directory:
+        return [uri]
+    base = (head if wild else uri).removesuffix(path)
+    found = [x for x in system.get_file_info(fs.FileSelector(path, recursive=not wild)) if x.is_file and not x.base_name.startswith((".", "_"))]
+    return sorted(base + x.path for x in found if not wild or fnmatch.fnmatch(x.base_name, last))
+
+
+def size_of(path: str) -> int:
+    remote = _remote(path)
+    return remote[0].get_file_info(remote[1]).size if remote else os.path.getsize(path)
+
+
+def raw(path: str):
+    """The bytes of a file or URI as a seekable binary stream."""
+    remote = _remote(path)
+    return io.BufferedReader(remote[0].open_input_file(remote[1]), 1 << 20) if remote else open(path, "rb")
+
+
 def opened(path: str):
     """A binary stream, decompressed by suffix."""
     if path.endswith(".gz") or path.endswith(".bam"):
         import gzip
 
-        return gzip.open(path)
+        return gzip.open(raw(path))
     if path.endswith(".bz2"):
         import bz2
 
-        return bz2.open(path)
+        return bz2.open(raw(path))
     if path.endswith((".xz", ".lzma")):
         import lzma
 
-        return lzma.open(path)
+        return lzma.open(raw(path))
     if path.endswith(".zst"):
         import zstandard
 
-        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(open(path, "rb"), read_across_frames=True, closefd=True))
-    return open(path, "rb")
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(raw(path), read_across_frames=True, closefd=True))
+    if path.endswith(".Z"):
+        from readloom.sources.bytes import uncompress
+
+        with raw(path) as f:
+            return io.BytesIO(uncompress(f.read()))
+    return raw(path)
 
 
 def quality_file(path: str) -> str | None:
@@ -84,7 +127,7 @@ class _Reader(DataSourceReader):
     def partitions(self):
         out = []
         for p in self.paths:
-            n = os.path.getsize(p)
+            n = size_of(p)
             if not self.split or p.endswith(SUFFIXES) or n <= self.size:
                 out.append(Range(p, 0, None))
             else:
@@ -96,10 +139,14 @@ class _Reader(DataSourceReader):
         for r in self.records(partition):
             rows.append(r)
             if len(rows) == 4096:
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows], schema)
+                yield _columns(rows, schema)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows], schema)
+            yield _columns(rows, schema)
+
+
+def _columns(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 READ_ARROW = pa.schema([("file", pa.string()), ("read_idx", pa.int64()), ("name", pa.string()), ("comment", pa.string()), ("seq", pa.string()), ("qual", pa.list_(pa.int32()))])
@@ -286,31 +333,159 @@ def _tags(data: bytes) -> dict[str, int]:
     return out
 
 
+class Blocks:
+    """The data of a block-compressed file from a block on."""
+
+    def __init__(self, f, at: int):
+        self.f, self.next, self.data, self.i = f, at, b"", 0
+        self.marks: list[tuple[int, int]] = []  # where in data each block begins, and its offset in the file
+
+    def _more(self) -> bool:
+        while True:
+            at = self.next
+            self.f.seek(at)
+            head = self.f.read(12)
+            if len(head) < 12:
+                return False
+            extra = self.f.read(struct.unpack("<H", head[10:12])[0])
+            size = _block_size(extra) if head[:4] == b"\x1f\x8b\x08\x04" else None
+            if size is None:
+                raise ValueError(f"no compressed block at byte {at}")
+            data = zlib.decompress(self.f.read(size - 12 - len(extra))[:-8], -15)
+            self.next = at + size
+            if data:
+                behind = [m for m in self.marks if m[0] <= self.i][-1:] if self.i < len(self.data) else []
+                self.marks = [(p - self.i, o) for p, o in behind + [m for m in self.marks if m[0] > self.i]]
+                self.data, self.i = self.data[self.i :], 0
+                self.marks.append((len(self.data), at))
+                self.data += data
+                return True
+
+    def block(self) -> int | None:
+        """File offset of the block that holds the next byte; None at the end."""
+        if self.i >= len(self.data) and not self._more():
+            return None
+        return [o for p, o in self.marks if p <= self.i][-1]
+
+    def read(self, n: int) -> bytes:
+        while len(self.data) - self.i < n and self._more():
+            pass
+        out = self.data[self.i : self.i + n]
+        self.i += len(out)
+        return out
+
+
+def _block_size(extra: bytes) -> int | None:
+    i = 0
+    while i + 4 <= len(extra):
+        n = struct.unpack("<H", extra[i + 2 : i + 4])[0]
+        if extra[i : i + 2] == b"BC" and n == 2 and i + 6 <= len(extra):
+            return struct.unpack("<H", extra[i + 4 : i + 6])[0] + 1
+        i += 4 + n
+    return None
+
+
+def _next_block(f, at: int, size: int) -> int | None:
+    """Offset of the first block at or after a byte: a block header whose successor is one too, or the end of the file."""
+    while at < size:
+        f.seek(at)
+        data = f.read(1 << 17)
+        i = data.find(b"\x1f\x8b\x08\x04")
+        while i >= 0:
+            n = _block_size(data[i + 12 : i + 12 + struct.unpack("<H", data[i + 10 : i + 12])[0]]) if i + 18 <= len(data) else None
+            if n is not None:
+                f.seek(at + i + n)
+                follow = f.read(4)
+                if follow == b"\x1f\x8b\x08\x04" or (not follow and at + i + n == size):
+                    return at + i
+            i = data.find(b"\x1f\x8b\x08\x04", i + 1)
+        if len(data) < 1 << 17:
+            return None
+        at += len(data) - 17
+    return None
+
+
 class BamReader(_Reader):
-    arrow, split = BAM_ARROW, False
+    """A range of a BAM file is the records that start in its compressed blocks; its first record is found by the records that follow it."""
+
+    arrow = BAM_ARROW
+
+    @staticmethod
+    def _header(f) -> list[str]:
+        if f.read(4) != b"BAM\x01":
+            raise ValueError("no BAM file")
+        f.read(struct.unpack("<i", f.read(4))[0])
+        refs = []
+        for _ in range(struct.unpack("<i", f.read(4))[0]):
+            (n,) = struct.unpack("<i", f.read(4))
+            refs.append(f.read(n)[:-1].decode())
+            f.read(4)
+        return refs
+
+    @staticmethod
+    def _length(data: bytes, i: int, refs: int) -> int | None:
+        """Length of what looks like a record at i, None if it does not; -1 if the data ends before that is known."""
+        if i + 36 > len(data):
+            return -1
+        size, ref, pos, l_name, _, _, n_cigar, _, l_seq, mate, mate_pos, _ = struct.unpack("<iiiBBHHHiiii", data[i : i + 36])
+        need = 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq
+        if not (l_name > 0 and l_seq >= 0 and -1 <= ref < refs and -1 <= mate < refs and pos >= -1 and mate_pos >= -1 and need <= size <= need + (1 << 24)):
+            return None
+        end = i + 36 + l_name
+        if end > len(data):
+            return -1
+        name = data[i + 36 : end]
+        return size + 4 if name[-1] == 0 and all(33 <= c <= 126 for c in name[:-1]) else None
+
+    def _synchronised(self, f, at: int, refs: int) -> int:
+        """How many bytes of the data from block `at` on come before the first record that starts there: the first place from which records follow one another."""
+        most = 1 << 18
+        while True:
+            window = Blocks(f, at).read(most)
+            whole = len(window) < most
+            for start in range(len(window)):
+                i, chained, ok = start, 0, False
+                while chained < 20 and not (whole and i == len(window)):
+                    n = self._length(window, i, refs)
+                    if n is None or n < 0 or i + n > len(window):
+                        ok = n is not None and not whole and chained >= 3  # the window ends amid records
+                        break
+                    i, chained = i + n, chained + 1
+                else:
+                    ok = chained > 0
+                if ok:
+                    return start
+            if whole:
+                return len(window)
+            most *= 4
 
     def records(self, part: Range) -> Iterator[tuple]:
-        with opened(part.path) as f:
-            if f.read(4) != b"BAM\x01":
-                raise ValueError(f"{part.path} is no BAM file")
-            f.read(struct.unpack("<i", f.read(4))[0])
-            refs = []
-            for _ in range(struct.unpack("<i", f.read(4))[0]):
-                n, = struct.unpack("<i", f.read(4))
-                refs.append(f.read(n)[:-1].decode())
-                f.read(4)
-            while size := f.read(4):
-                d = f.read(struct.unpack("<i", size)[0])
-                ref, pos, l_name, _, _, n_cigar, flag, l_seq = struct.unpack("<iiBBHHHi", d[:20])
-                at = 32
-                name = d[at : at + l_name - 1].decode()
-                at += l_name + 4 * n_cigar
-                packed = d[at : at + (l_seq + 1) // 2]
-                seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq]
-                at += len(packed)
-                qual = None if d[at : at + 1] == b"\xff" else list(d[at : at + l_seq])
-                t = _tags(d[at + l_seq :])
-                yield (name, flag, refs[ref] if 0 <= ref < len(refs) else None, pos, seq, qual, t.get("zm"), t.get("qs"), t.get("qe"), t.get("np"))
+        with raw(part.path) as f:
+            size = f.seek(0, 2)
+            b = Blocks(f, 0)
+            refs = self._header(b)
+            if part.start:
+                at = _next_block(f, part.start, size)
+                if at is None:
+                    return
+                b = Blocks(f, at)
+                b.read(self._synchronised(f, at, len(refs)))
+            while (at := b.block()) is not None and (part.stop is None or at < part.stop):
+                (n,) = struct.unpack("<i", b.read(4))
+                yield self.record(b.read(n), refs)
+
+    @staticmethod
+    def record(d: bytes, refs: list[str]) -> tuple:
+        ref, pos, l_name, _, _, n_cigar, flag, l_seq = struct.unpack("<iiBBHHHi", d[:20])
+        at = 32
+        name = d[at : at + l_name - 1].decode()
+        at += l_name + 4 * n_cigar
+        packed = d[at : at + (l_seq + 1) // 2]
+        seq = "".join(_BASES[b >> 4] + _BASES[b & 15] for b in packed)[:l_seq]
+        at += len(packed)
+        qual = None if d[at : at + 1] == b"\xff" else list(d[at : at + l_seq])
+        t = _tags(d[at + l_seq :])
+        return (name, flag, refs[ref] if 0 <= ref < len(refs) else None, pos, seq, qual, t.get("zm"), t.get("qs"), t.get("qe"), t.get("np"))
 
 
 def bgzf(data: bytes) -> bytes:
@@ -363,6 +538,64 @@ class BamWriter(DataSourceArrowWriter):
         return struct.pack("<i", len(body)) + body
 
 
+def _compressed(path: str, codec: str):
+    """A binary file to write to."""
+    if codec == "gz":
+        import gzip
+
+        return gzip.open(path, "wb")
+    if codec == "bz2":
+        import bz2
+
+        return bz2.open(path, "wb")
+    if codec in ("xz", "lzma"):
+        import lzma
+
+        return lzma.open(path, "wb", format=lzma.FORMAT_XZ if codec == "xz" else lzma.FORMAT_ALONE)
+    if codec == "zst":
+        import zstandard
+
+        return zstandard.open(path, "wb")
+    if codec == "none":
+        return open(path, "wb")
+    raise ValueError(f"unknown codec {codec}")
+
+
+class LineWriter(DataSourceArrowWriter):
+    """One file of lines a partition (column value; null is an empty line); a file appears under its name once it is whole."""
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.codec = options["path"], options.get("codec", "none")
+        os.makedirs(self.path, exist_ok=True)
+        if overwrite:
+            for p in glob.glob(f"{self.path}/part-*"):
+                os.remove(p)
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        c = TaskContext.get()
+        target = f"{self.path}/part-{c.partitionId():05d}" + ("" if self.codec == "none" else f".{self.codec}")
+        part = f"{self.path}/.{c.partitionId():05d}.{c.taskAttemptId()}.tmp"
+        with _compressed(part, self.codec) as f:
+            for batch in iterator:
+                for line in batch.column(0):
+                    f.write((line.as_py() or "").encode() + b"\n")
+        os.replace(part, target)
+        return WriterCommitMessage()
+
+
+class LineReader(_Reader):
+    """Lines of plain or compressed files: file, line_no (from 0), value. One partition a file."""
+
+    arrow, split = pa.schema([("file", pa.string()), ("line_no", pa.int64()), ("value", pa.string())]), False
+
+    def records(self, part: Range) -> Iterator[tuple]:
+        with opened(part.path) as f:
+            for i, line in enumerate(f):
+                yield (part.path, i, line.rstrip(b"\n").decode(errors="replace"))
+
+
 def _source(short: str, ddl: str, reader: type, writer: type | None = None) -> type[DataSource]:
     class Source(DataSource):
         @classmethod
@@ -389,6 +622,7 @@ SOURCES = [
     _source("readloom_blast", MATCH_DDL, BlastReader),
     _source("readloom_match", MATCH_DDL, MatchReader),
     _source("readloom_bam", BAM_DDL, BamReader, BamWriter),
+    _source("readloom_lines", "file string, line_no bigint, value string", LineReader, LineWriter),
 ]
 
 

@@ -60,3 +60,18 @@ def write_split(df: DataFrame, path: str, order: str, rows: int) -> None:
 def save_counts(counted: DataFrame, path: str, ranges: int = 64) -> None:
     """A k-mer count table as Parquet in ranges of k-mers, so that merges and lookups of k-mers prune row groups."""
     counted.repartitionByRange(ranges, "kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(path)
+
+
+def write_lines(df: DataFrame, path: str, value: str = "value", order: list[str] | None = None, codec: str = "none") -> None:
+    """One text file a partition, named part-00000 and on, compressed as the codec says: none, gz, bz2, xz, lzma or zst (the suffix of the files).
+
+    With order the files hold the rows in that order, one after another: ranges of the order are the partitions, sorted.
+    """
+    from readloom.sources.files import register
+
+    register(df.sparkSession)
+    out = df.select(F.col(value).cast("string").alias("value"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order or [])])
+    if order:
+        keys = [f"__o{i}" for i in range(len(order))]
+        out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    out.select("value").write.format("readloom_lines").option("codec", codec).mode("overwrite").save(path)

@@ -97,3 +97,101 @@ def test_streams(spark, tmp_path):
     w.processAllAvailable()
     w.stop()
     assert sum(seen) == len(rows) == spark.read.parquet(str(tmp_path / "copy")).count()
+
+
+@pytest.mark.parametrize("split", [20_000, 1 << 22])
+def test_bam_in_ranges(spark, tmp_path, split):
+    """Small ranges of several files: every record once, also records longer than many blocks."""
+    files.register(spark)
+    rnd = random.Random(9)
+    rows = []
+    for i in range(1500):
+        n = rnd.choice([0, 5, 100, 400] if i % 500 else [200_000])
+        rows.append((f"m/{i}/ccs", "".join(rnd.choice("ACGT") for _ in range(n)), [rnd.randrange(60) for _ in range(n)], i, 0, n, 3))
+    df = spark.createDataFrame(rows, "full_name string, seq string, qual array<int>, hole_number bigint, q_start bigint, q_end bigint, num_passes bigint")
+    wide = df.select("full_name", F.lit(0).alias("flag"), F.lit(None).cast("string").alias("ref_name"), F.lit(0).cast("bigint").alias("pos"), "seq", "qual", "hole_number", "q_start", "q_end", "num_passes")
+    wide.repartition(2).write.format("readloom_bam").mode("overwrite").save(str(tmp_path / "bam"))
+    back = spark.read.format("readloom_bam").option("splitBytes", split).load(str(tmp_path / "bam"))
+    assert sorted((r.full_name, r.seq, r.qual) for r in back.collect()) == sorted(r[:3] for r in rows)
+    if split == 20_000:
+        assert back.rdd.getNumPartitions() > 20
+
+
+def test_uris(spark, tmp_path, records):
+    files.register(spark)
+    (tmp_path / "a.fasta").write_text("".join(f">{n}\n{s}\n" for n, _, s, _ in records))
+    (tmp_path / "b.fasta").write_text(">x\nAC\n")
+    for path in (f"file://{tmp_path}/a.fasta", f"file://{tmp_path}/a*.fasta"):
+        assert [(r[0], r[2]) for r in got(spark.read.format("readloom_fasta").option("splitBytes", 300).load(path))] == [(n, s) for n, _, s, _ in records]
+    assert spark.read.format("readloom_fasta").load(f"file://{tmp_path}").count() == len(records) + 1
+
+
+def test_byte_reader():
+    import io
+
+    from readloom.sources.bytes import ByteReader
+
+    for size in (1, 3, 100):
+        r = ByteReader(io.BytesIO(b"ab\ncd||ef|g||\nlast"), size)
+        assert (r.peek(2), r.line(), r.line(b"||"), r.skip(1), r.read(2), r.line(b"||"), r.skip_line(), r.line(), r.line(), r.read(1), r.peek()) == (b"ab", b"ab", b"cd", 1, b"f|", b"g", True, b"last", None, b"", b"")
+        assert ByteReader(io.BytesIO(b"abc"), size).skip(9) == 3 and ByteReader(io.BytesIO(b""), size).skip_line() is False
+
+
+def lzw(data: bytes, widest: int = 12, clear_at: int | None = None) -> bytes:
+    """A .Z writer for the tests."""
+    out, bits, n = bytearray(b"\x1f\x9d" + bytes([128 | widest])), 0, 0
+    state = {"width": 9, "codes": 0}
+
+    def put(code):
+        nonlocal bits, n
+        bits |= code << n
+        n += state["width"]
+        state["codes"] += 1
+        while n >= 8:
+            out.append(bits & 255)
+            bits >>= 8
+            n -= 8
+
+    def fill_group():
+        while state["codes"] % 8:
+            put(0)
+
+    table = {bytes([i]): i for i in range(256)}
+    free, w = 257, b""
+    for i, c in enumerate(data):
+        x = w + bytes([c])
+        if x in table:
+            w = x
+            continue
+        put(table[w])
+        if free < 1 << widest:
+            table[x] = free
+            free += 1
+            if free > 1 << state["width"] and state["width"] < widest:
+                fill_group()
+                state.update(width=state["width"] + 1, codes=0)
+        if clear_at and i and i % clear_at == 0:
+            put(256)
+            fill_group()
+            state.update(width=9, codes=0)
+            table, free = {bytes([i]): i for i in range(256)}, 257
+        w = bytes([c])
+    if w:
+        put(table[w])
+    if n:
+        out.append(bits & 255)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("clear_at", [None, 3000])
+def test_uncompress(tmp_path, clear_at):
+    from readloom.sources.bytes import uncompress
+
+    rnd = random.Random(3)
+    for data in (b"", b"a", b"aaaaaaaaaaaaa", bytes(rnd.choice(b"ACGTN\n") for _ in range(40_000)), bytes(rnd.randrange(256) for _ in range(9000))):
+        assert uncompress(lzw(data, 12, clear_at)) == data
+    (tmp_path / "x.fasta.Z").write_bytes(lzw(b">a\nACGT\n"))
+    with files.opened(str(tmp_path / "x.fasta.Z")) as f:
+        assert f.read() == b">a\nACGT\n"
+    with pytest.raises(ValueError, match="no .Z"):
+        uncompress(b"plain")
