@@ -18,9 +18,9 @@ class Ordered:
     """A DataFrame in the order of some columns; df has __p, the range, and __i, the row in it, both in order."""
 
     def __init__(self, df: DataFrame, *order: str):
-        at = F.col("__id")
-        table = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id()), "ordered")[0]
-        self.df = table.withColumns({"__p": F.shiftright(at, _BITS), "__i": at.bitwiseAND(F.lit((1 << _BITS) - 1))}).drop("__id")
+        at = F.col("__order_id")
+        table = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__order_id", F.monotonically_increasing_id()), "ordered")[0]
+        self.df = table.withColumns({"__p": F.shiftright(at, _BITS), "__i": at.bitwiseAND(F.lit((1 << _BITS) - 1))}).drop("__order_id")
         self.columns = df.columns
 
     def _per_range(self, *aggs: Column) -> list:

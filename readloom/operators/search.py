@@ -13,6 +13,7 @@ from readloom.functions.arrow import gathered
 from readloom.functions.packed import Batch
 from readloom.functions.reads import numbered
 from readloom.operators import kmers as K
+from readloom.operators.order import Ordered
 from readloom.session import written
 
 
@@ -52,6 +53,7 @@ class ReadIndex:
 
     @classmethod
     def load(cls, spark, path: str, k: int) -> ReadIndex:
+        """The index of postings that save() wrote."""
         return cls(K.keyed(spark.read.parquet(path), k), k)
 
     def save(self, path: str, buckets: int = 64) -> None:
@@ -59,6 +61,9 @@ class ReadIndex:
         self.postings.repartitionByRange(buckets, "kmer").sortWithinPartitions("kmer").write.mode("overwrite").parquet(path)
 
     def set(self, **settings) -> ReadIndex:
+        """Change settings: most_hits (None: no cap), least_value, by ('query' or 'read')."""
+        if unknown := set(settings) - set(self.settings):
+            raise ValueError(f"unknown settings {sorted(unknown)}")
         self.settings.update(settings)
         return self
 
@@ -87,10 +92,41 @@ class ReadIndex:
         w = Window.partitionBy("query").orderBy(F.desc("hits"), "read_id")
         return self.search(queries).withColumn("rank_no", F.row_number().over(w).cast("bigint"))
 
-    def histogram(self) -> DataFrame:
-        from readloom.operators.kmers import postings_histogram
+    def search_text(self, seq: str) -> DataFrame:
+        """(read_id, hits, value, rank_no) for one sequence."""
+        spark = self.posted.sparkSession
+        return self.ranked(spark.createDataFrame([(0, seq)], "query bigint, seq string")).drop("query")
+
+    def msearch(self, path: str) -> DataFrame:
+        """ranked() for a text file of sequences, one a line; query is the line's number in its file's order (from 0), empty lines ask nothing."""
+        from readloom.sources.files import register
+
+        spark = self.posted.sparkSession
+        register(spark)
+        lines = spark.read.format("readloom_lines").load(path)
+        return self.ranked(lines.select(F.col("line_no").alias("query"), F.trim("value").alias("seq")).where("seq <> ''"))
+
+    def show(self) -> dict:
+        """The settings, k, and the sizes of the index."""
+        n = self.posted.agg(F.count_distinct("kmer").alias("kmers"), F.sum("n").alias("occurrences")).first()
+        return {**self.settings, "k": self.k, "kmers": n["kmers"], "occurrences": n["occurrences"] or 0, "reads": self.copies.count()}
+
+    def write(self, queries: DataFrame, path: str, codec: str = "none") -> None:
+        """ranked() as tab-separated lines in order of query and rank."""
+        from readloom.sources.text import write_lines
 
-        return postings_histogram(self.postings)
+        found = self.ranked(queries).select("query", "rank_no", F.concat_ws("\t", "query", "read_id", "hits", "value").alias("value"))
+        write_lines(found, path, order=["query", "rank_no"], codec=codec)
+
+    @classmethod
+    def help(cls) -> str:
+        """What the index can do, a line each."""
+        public = [n for n in vars(cls) if not n.startswith("_") and callable(getattr(cls, n))]
+        return "\n".join(f"{n}: {(getattr(cls, n).__doc__ or '').strip().splitlines()[0] if getattr(cls, n).__doc__ else ''}" for n in public)
+
+    def histogram(self) -> DataFrame:
+        """(size, n_kmers): how many k-mers have so many occurrences."""
+        return K.postings_histogram(self.postings)
 
 
 def first_positions(reference: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -136,6 +172,32 @@ def merge_hits(found: DataFrame, k: int, touching: bool = False) -> DataFrame:
     return lists.mapInArrow(lambda it: _ranges(it, k, k if touching else 1), "id bigint, start bigint, stop bigint")
 
 
+def squashed_reads(found: DataFrame, numbered_reads: DataFrame, k: int) -> DataFrame:
+    """(file, read_idx, name, start, stop, seq, offset): the stretches of reads that hold any of the found k-mers (id, pos), and nothing else, in order; offset is where a
+    stretch begins in all of them laid end to end. Sequence that no k-mer uses is gone."""
+    pieces = located(merge_hits(found, k, touching=True), numbered_reads, "file", "read_idx", "name", "seq")
+    cut = pieces.select("file", "read_idx", "name", "start", "stop", F.substring("seq", (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int")).alias("seq"))
+    size = F.col("stop") - F.col("start")
+    return Ordered(cut, "file", "read_idx", "start").running(size, "__end").withColumn("offset", F.col("__end") - size).drop("__end")
+
+
+def offsets_to_reads(offsets: DataFrame, reads: DataFrame, offset: str = "offset") -> DataFrame:
+    """offsets with file, read_idx, name and pos: which read of all reads laid end to end (in order of file and read_idx) holds each offset, and where.
+
+    Reads: file, read_idx, name, seq (null counts as empty). Offsets outside, and null ones, are left out. Starts and offsets are put in one order and the
+    starts up to each offset counted, so no side is broadcast and no row meets more than its own read.
+    """
+    n = F.coalesce(F.length("seq"), F.lit(0)).cast("bigint")
+    laid = Ordered(reads.where(n > 0).select("file", "read_idx", "name", n.alias("__n")), "file", "read_idx").running(F.col("__n"), "__end")
+    starts = written(laid.select("file", "read_idx", "name", "__n", (F.col("__end") - F.col("__n")).alias("__start")), "starts")[0]
+    number, _ = Ordered(starts, "__start").numbered("__k")
+    keyed, _ = written(offsets.where(F.col(offset) >= 0).withColumn("__id", F.monotonically_increasing_id()), "offsets")
+    both = starts.select(F.col("__start").alias("__at"), F.lit(0).alias("__kind"), F.lit(None).cast("bigint").alias("__id")).unionByName(keyed.select(F.col(offset).cast("bigint").alias("__at"), F.lit(1).alias("__kind"), "__id"))
+    upto = Ordered(both, "__at", "__kind").running(1 - F.col("__kind"), "__k").where("__kind = 1").select("__id", "__at", (F.col("__k") - 1).alias("__k"))
+    hit = upto.join(number, "__k").where("__at < __start + __n")
+    return keyed.join(hit.select("__id", "file", "read_idx", "name", (F.col("__at") - F.col("__start")).alias("pos")), "__id").drop("__id")
+
+
 def squashed_loci(loci: DataFrame) -> DataFrame:
     """(seq, locus): one row per distinct sequence; loci of it in order as 'id1_id2', joined by ';', each with the sorted parents that hold it. 'NONE' is left out."""
     one = loci.where("seq is not null and seq not in ('NONE', '')").groupBy("seq", F.concat_ws("_", "id1", "id2").alias("id")).agg(F.concat_ws("", F.array_sort(F.collect_set("parent"))).alias("parents"))
@@ -209,3 +271,15 @@ def find_loci(reads: DataFrame, loci: DataFrame, keep: list[str]) -> DataFrame:
     for x in out[1:]:
         found = found.unionByName(x)
     return found
+
+
+def reads_by_locus(found: DataFrame, most: int = 1000, name: str = "name") -> DataFrame:
+    """(locus_seq, part, n_reads, names): the distinct reads of each locus in order of name, at most `most` a row, joined by blanks; parts count from 0.
+
+    A locus that very many reads hold has many rows; its reads are numbered over ranges of the order, so no task gathers them.
+    """
+    rows, _ = Ordered(found.select("locus_seq", F.col(name).alias("name")).distinct(), "locus_seq", "name").numbered("__n")
+    first = rows.groupBy("locus_seq").agg(F.min("__n").alias("__first"))
+    part = F.floor((F.col("__n") - F.col("__first")) / most)
+    per = rows.join(first, "locus_seq").groupBy("locus_seq", part.alias("part")).agg(F.count("*").alias("n_reads"), F.array_join(F.array_sort(F.collect_list("name")), " ").alias("names"))
+    return per

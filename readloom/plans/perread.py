@@ -207,30 +207,31 @@ def f26(spark, d):
     return N.pretty_scale(g, ["x"]).select("file", F.round("x", 9).alias("x"))
 
 
-def _streamed(spark, d, name, make, mode):
-    """A stream over the reads' table, run until all of it is in."""
+def _streamed(spark, d, name, make):
+    """A stream over the reads' table, run until all of it is in; each batch writes the result so far as a table in the shared folder."""
     from readloom.session import shared_folder
     import uuid
 
     t = table(spark, d, "raw_read")
     source = spark.readStream.schema(t.schema).parquet(f"{d}/raw_read.parquet*")
-    sink = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = make(source).writeStream.outputMode(mode).format("memory").queryName(sink).option("checkpointLocation", f"{shared_folder(spark)}/stream-{sink}").start()
+    base = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex[:8]}"
+    result = make(source)
+    q = result.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/result")).option("checkpointLocation", f"{base}/checkpoint").start()
     q.processAllAvailable()
     q.stop()
-    return spark.table(sink)
+    return spark.read.schema(result.schema).parquet(f"{base}/result")
 
 
 @query("st_running_counts", "WITH w AS (SELECT substr(upper(seq), p, 6) AS w FROM (SELECT seq, unnest(range(1, length(seq) - 4)) AS p FROM raw_read)) SELECT least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer, count(*) AS cnt FROM w WHERE regexp_full_match(w, '[ACGT]{6}') GROUP BY 1")
 def st_counts(spark, d):
     from readloom.streaming.reads import running_counts
 
-    return _streamed(spark, d, "counts", lambda s: running_counts(s, 6), "complete")
+    return _streamed(spark, d, "counts", lambda s: running_counts(s, 6))
 
 
 @query("st_reads_per_window", "SELECT date_trunc('hour', loaded_at AT TIME ZONE 'UTC') AS start, file, count(*) AS n_reads, sum(length(seq))::BIGINT AS n_bases FROM raw_read GROUP BY ALL")
 def st_windows(spark, d):
     from readloom.streaming.reads import reads_per_window
 
-    s = _streamed(spark, d, "windows", lambda s: reads_per_window(s, "loaded_at"), "complete")
+    s = _streamed(spark, d, "windows", lambda s: reads_per_window(s, "loaded_at"))
     return s.withColumn("start", F.col("start").cast("timestamp_ntz"))

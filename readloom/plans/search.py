@@ -103,6 +103,18 @@ def w6_touch(spark, d):
     return S.located(S.merge_hits(found, 16, touching=True), r, "file", "read_idx")
 
 
+@query("a14_squashed_reads", merge_sql(16).replace("SELECT file, read_idx, min(pos) AS start, max(pos) + 16 AS stop FROM g GROUP BY file, read_idx, g", "m AS (SELECT file, read_idx, any_value(name) AS name, min(pos) AS start, max(pos) + 16 AS stop FROM g GROUP BY file, read_idx, g) SELECT m.*, substr(r.seq, start + 1, stop - start) AS seq, (sum(stop - start) OVER (ORDER BY m.file, m.read_idx, start) - (stop - start))::BIGINT AS offset FROM m JOIN reads r ON r.file = m.file AND r.read_idx = m.read_idx").replace("AS stop FROM g GROUP BY file, read_idx, g) SELECT", "AS stop FROM g GROUP BY file, read_idx, g) SELECT").replace("g AS (SELECT *, sum(new) OVER (PARTITION BY file, read_idx ORDER BY pos) AS g FROM n) m AS", "g AS (SELECT *, sum(new) OVER (PARTITION BY file, read_idx ORDER BY pos) AS g FROM n), m AS"))
+def a14_squash(spark, d):
+    return S.squashed_reads(*hit_positions(spark, d), 16)
+
+
+@query("j17_offsets_to_reads", f"""WITH {READS}, r AS (SELECT file, read_idx, name, length(seq) AS n FROM reads WHERE seq <> ''), l AS (SELECT *, sum(n) OVER (ORDER BY file, read_idx) - n AS start FROM r), o AS (SELECT match_id, match_id * 37 AS at FROM (SELECT DISTINCT match_id FROM pair_match))
+SELECT match_id, o.at AS offset, file, read_idx, name, (o.at - start)::BIGINT AS pos FROM o ASOF JOIN l ON o.at >= l.start WHERE o.at < start + n""")
+def j17(spark, d):
+    offsets = table(spark, d, "pair_match").select("match_id").distinct().withColumn("offset", F.col("match_id") * 37)
+    return S.offsets_to_reads(offsets, reads(spark, d))
+
+
 @query("o4_squashed_loci", """WITH one AS (SELECT upper(seq) AS seq, id1 || '_' || id2 AS id, string_agg(DISTINCT parent, '' ORDER BY parent) AS parents FROM loci WHERE seq NOT IN ('NONE', '') GROUP BY ALL)
 SELECT seq, string_agg(id || '_' || parents, ';' ORDER BY id || '_' || parents) AS locus FROM one GROUP BY seq""")
 def o4(spark, d):
@@ -119,10 +131,10 @@ def j7(spark, d):
     return S.find_loci(one(spark, d), table(spark, d, "loci"), ["name"])
 
 
-@query("r8_reads_by_locus", f"{LOCI} SELECT locus_seq, count(DISTINCT name) AS n_reads, string_agg(DISTINCT name, ' ' ORDER BY name) AS names FROM fl GROUP BY locus_seq")
+@query("r8_reads_by_locus", f"{LOCI}, dn AS (SELECT locus_seq, name, (row_number() OVER (PARTITION BY locus_seq ORDER BY name) - 1) // 20 AS part FROM (SELECT DISTINCT locus_seq, name FROM fl)) SELECT locus_seq, part, count(*) AS n_reads, string_agg(name, ' ' ORDER BY name) AS names FROM dn GROUP BY ALL")
 def r8(spark, d):
     f = S.find_loci(one(spark, d), table(spark, d, "loci"), ["name"])
-    return f.groupBy("locus_seq").agg(F.count_distinct("name").alias("n_reads"), F.array_join(F.array_sort(F.collect_set("name")), " ").alias("names"))
+    return S.reads_by_locus(f, 20)
 
 
 # reads 2i and 2i+1 are mates
