@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: library hint, pattern, number of groups, the group that tells the direction, its text for forward and for reverse
@@ -73,6 +73,11 @@ def read_direction(name: Column) -> Column:
     return _first(name, choices, F.struct(F.lit(None).cast("int").alias("library_hint"), F.lit("").alias("direction"), none.alias("own_key"), none.alias("pair_key")))
 
 
+def with_direction(df: DataFrame, name: str = "name", out: str = "direction_of") -> DataFrame:
+    """df with read_direction of a column as a struct. It goes through a one-element explode, so that the patterns run once a name, however many fields are used."""
+    return df.select("*", F.explode(F.array(read_direction(F.col(name)))).alias(out))
+
+
 def library_of(name: Column, hint: Column) -> Column:
     """The library of a name whose direction pattern gave the hint (a name without pattern counts as hint 0)."""
     h = F.coalesce(hint, F.lit(0))

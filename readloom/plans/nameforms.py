@@ -53,13 +53,13 @@ LIBRARY = "CASE " + " ".join(f"WHEN coalesce(hint, 0) = {h} AND regexp_matches(n
 
 @query("f12_read_directions", f"{NAMES} SELECT file, read_idx, form_no, {HINT} AS library_hint, {DIRECTION} AS direction, {OWN} AS own_key, {PAIR} AS pair_key FROM nm")
 def f12(spark, d):
-    return names(spark, d).withColumn("p", N.read_direction(F.col("name"))).select("file", "read_idx", "form_no", "p.library_hint", "p.direction", "p.own_key", "p.pair_key")
+    return N.with_direction(names(spark, d), out="p").select("file", "read_idx", "form_no", "p.library_hint", "p.direction", "p.own_key", "p.pair_key")
 
 
 @query("f13_library_names", f"{NAMES}, h AS (SELECT *, {HINT} AS hint FROM nm) SELECT form_no, {LIBRARY} AS library, count(*) AS n FROM h GROUP BY ALL")
 def f13(spark, d):
-    n = names(spark, d)
-    return n.groupBy("form_no", N.library_of(F.col("name"), N.read_direction(F.col("name"))["library_hint"]).alias("library")).agg(F.count("*").alias("n"))
+    n = N.with_direction(names(spark, d), out="p")
+    return n.groupBy("form_no", N.library_of(F.col("name"), F.col("p.library_hint")).alias("library")).agg(F.count("*").alias("n"))
 
 
 def _header(value) -> str:
@@ -81,5 +81,5 @@ HEAD = {
 
 @query("f11_headers", f"{NAMES}, h AS (SELECT file, read_idx, form_no, split_part(name, ' ', 1) AS w, CASE WHEN regexp_extract(regexp_extract(file, '([^/]*)$', 1), '^([^_.]*)', 1) = '' THEN '' ELSE regexp_extract(regexp_extract(file, '([^/]*)$', 1), '^([^_.]*)', 1) || '_' END AS pre FROM nm) SELECT file, read_idx, form_no, {', '.join(f'{v} AS {k}' for k, v in HEAD.items())} FROM h")
 def f11(spark, d):
-    h = names(spark, d).withColumn("p", N.header(F.col("name"), N.file_prefix(F.col("file"))))
+    h = names(spark, d).select("file", "read_idx", "form_no", F.explode(F.array(N.header(F.col("name"), N.file_prefix(F.col("file"))))).alias("p"))
     return h.select("file", "read_idx", "form_no", *[F.col("p")[k].alias(k) for k in HEAD])
