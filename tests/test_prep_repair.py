@@ -117,6 +117,27 @@ def test_repair_withdraws_contradicting_matches():
     assert s == two and n == 1 and confirmed == 16
 
 
+def test_deep_repair_is_the_same(spark):
+    """Sequences with more matches than a row may hold, over all tasks: what repair_one makes of them."""
+    rnd = random.Random(7)
+    seqs, matches = [], []
+    for i in range(12):
+        true = "".join(rnd.choice("ACGT") for _ in range(60))
+        other = list(true)
+        for p in rnd.sample(range(60), 4):
+            other[p] = rnd.choice("ACGT")
+        bad = "".join(c if rnd.random() > 0.05 else rnd.choice("ACGTacgtN") for c in true)
+        seqs.append((f"q{i}", bad, [20] * 60 if i % 3 else None))
+        for _ in range(rnd.randrange(0, 25)):
+            a, z = rnd.randrange(0, 4), rnd.randrange(56, 61)
+            text = "".join(rnd.choice([true, true, "".join(other)])[p] if rnd.random() > 0.02 else rnd.choice("ACGTN-") for p in range(a, z))
+            matches.append((f"q{i}", a, z, 60, bad[a:z], text))
+    s = spark.createDataFrame(seqs, "query_id string, seq string, qual array<int>")
+    m = spark.createDataFrame(matches, "query_id string, start int, stop int, length int, qs string, ss string")
+    rows = [sorted(map(repr, X.repair(s, m, 2, 2, most_changed=0.08, most_matches=n).collect())) for n in (1000, 5, 0)]
+    assert rows[0] == rows[1] == rows[2] and "n_changes=2" in str(rows[0])
+
+
 def test_pair_gap():
     assert _pair_gap([40, 40], [0, 88], [0, 88], 40, 40) == 0
     assert _pair_gap([40], [0], [0], 40, 40) == -1
