@@ -197,3 +197,12 @@ def repair(sequences: DataFrame, matches: DataFrame, confirm: int = 3, change: i
     hot = a.join(many, "query_id", "left_semi")
     changes = deep_changes(hot, usable.join(many, "query_id", "left_semi"), confirm, change)
     return out.unionByName(hot.join(changes, "query_id", "left").select("query_id", "seq", "qual", "changes", "confirmed").mapInPandas(deep, schema))
+
+
+def repair_from_text(sequences: DataFrame, path: str, form: str = "blast", **options) -> DataFrame:
+    """repair() with the matches of pairwise alignment text (form 'blast') or compact match text (form 'match'), whose positions count from 1."""
+    from readloom.sources.files import register
+
+    register(sequences.sparkSession)
+    found = sequences.sparkSession.read.format(f"readloom_{form}").load(path)
+    return repair(sequences, found.select("query_id", (F.col("start") - 1).alias("start"), "stop", "length", "qs", "ss"), **options)

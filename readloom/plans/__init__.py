@@ -2,7 +2,7 @@
 
 import importlib
 
-_THEMES = ("core", "kmers", "masking", "clipping", "search", "tables", "perread", "nameforms")
+_THEMES = ("core", "kmers", "masking", "clipping", "search", "tables", "perread", "nameforms", "formats")
 
 
 def modules() -> list:

@@ -17,6 +17,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from contextlib import nullcontext
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -35,6 +36,25 @@ def _remote(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def sink(path: str):
+    """(file system, folder in it) of a target, made if it is not there."""
+    from pyarrow import fs
+
+    system, folder = _remote(path) or (fs.LocalFileSystem(), path)
+    system.create_dir(folder, recursive=True)
+    return system, folder.rstrip("/")
+
+
+def clear(path: str, ending: str = "") -> None:
+    """Delete the part files of a target."""
+    from pyarrow import fs
+
+    system, folder = sink(path)
+    for x in system.get_file_info(fs.FileSelector(folder)):
+        if x.is_file and x.base_name.startswith("part-") and x.base_name.endswith(ending):
+            system.delete_file(x.path)
+
+
 def expand(path: str) -> list[str]:
     """Files of a path, directory, glob pattern (in the last part of a URI) or comma list; a file '@list' names one path per line."""
     out: list[str] = []
@@ -500,17 +520,17 @@ class BamWriter(DataSourceArrowWriter):
 
     def __init__(self, options, overwrite: bool):
         self.path = options["path"]
-        os.makedirs(self.path, exist_ok=True)
+        sink(self.path)
         if overwrite:
-            for p in glob.glob(f"{self.path}/part-*.bam"):
-                os.remove(p)
+            clear(self.path, ".bam")
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         c = TaskContext.get()
-        target = f"{self.path}/part-{c.partitionId():05d}.bam"
-        with open(f"{target}.{c.taskAttemptId()}.tmp", "wb") as f:
+        system, folder = sink(self.path)
+        part = f"{folder}/.{c.partitionId():05d}.{c.taskAttemptId()}.tmp"
+        with system.open_output_stream(part) as f:
             text = b"@HD\tVN:1.6\tSO:unknown\n"
             f.write(bgzf(b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", 0)))
             buffer = bytearray()
@@ -523,7 +543,7 @@ class BamWriter(DataSourceArrowWriter):
             if buffer:
                 f.write(bgzf(bytes(buffer)))
             f.write(bgzf(b""))
-        os.replace(f.name, target)
+        system.move(part, f"{folder}/part-{c.partitionId():05d}.bam")
         return WriterCommitMessage()
 
     @staticmethod
@@ -538,26 +558,26 @@ class BamWriter(DataSourceArrowWriter):
         return struct.pack("<i", len(body)) + body
 
 
-def _compressed(path: str, codec: str):
-    """A binary file to write to."""
+def _compressed(stream, codec: str):
+    """A binary file that writes compressed data to a stream."""
     if codec == "gz":
         import gzip
 
-        return gzip.open(path, "wb")
+        return gzip.GzipFile(fileobj=stream, mode="wb")
     if codec == "bz2":
         import bz2
 
-        return bz2.open(path, "wb")
+        return bz2.BZ2File(stream, "wb")
     if codec in ("xz", "lzma"):
         import lzma
 
-        return lzma.open(path, "wb", format=lzma.FORMAT_XZ if codec == "xz" else lzma.FORMAT_ALONE)
+        return lzma.LZMAFile(stream, "wb", format=lzma.FORMAT_XZ if codec == "xz" else lzma.FORMAT_ALONE)
     if codec == "zst":
         import zstandard
 
-        return zstandard.open(path, "wb")
+        return zstandard.ZstdCompressor().stream_writer(stream, closefd=False)
     if codec == "none":
-        return open(path, "wb")
+        return nullcontext(stream)
     raise ValueError(f"unknown codec {codec}")
 
 
@@ -566,22 +586,22 @@ class LineWriter(DataSourceArrowWriter):
 
     def __init__(self, options, overwrite: bool):
         self.path, self.codec = options["path"], options.get("codec", "none")
-        os.makedirs(self.path, exist_ok=True)
+        sink(self.path)
         if overwrite:
-            for p in glob.glob(f"{self.path}/part-*"):
-                os.remove(p)
+            clear(self.path)
 
     def write(self, iterator):
         from pyspark import TaskContext
 
         c = TaskContext.get()
-        target = f"{self.path}/part-{c.partitionId():05d}" + ("" if self.codec == "none" else f".{self.codec}")
-        part = f"{self.path}/.{c.partitionId():05d}.{c.taskAttemptId()}.tmp"
-        with _compressed(part, self.codec) as f:
+        system, folder = sink(self.path)
+        part = f"{folder}/.{c.partitionId():05d}.{c.taskAttemptId()}.tmp"
+        with system.open_output_stream(part) as stream, _compressed(stream, self.codec) as f:
             for batch in iterator:
-                for line in batch.column(0):
-                    f.write((line.as_py() or "").encode() + b"\n")
-        os.replace(part, target)
+                lines = [(x.as_py() or "").encode() for x in batch.column(0)]
+                if lines:
+                    f.write(b"\n".join(lines) + b"\n")
+        system.move(part, f"{folder}/part-{c.partitionId():05d}" + ("" if self.codec == "none" else f".{self.codec}"))
         return WriterCommitMessage()
 
 

@@ -138,6 +138,21 @@ def test_deep_repair_is_the_same(spark):
     assert rows[0] == rows[1] == rows[2] and "n_changes=2" in str(rows[0])
 
 
+def test_repair_from_text(spark, tmp_path):
+    rnd = random.Random(11)
+    true = "".join(rnd.choice("ACGT") for _ in range(60))
+    bad = true[:30] + ("A" if true[30] != "A" else "C") + true[31:]
+    blast = "Query= q some\n\n" + "".join(
+        f">t{i} x\n          Length = 60\n\n Score = 90 bits (1)\n Identities = 59/60 (98%)\n Strand = Plus / Plus\n\nQuery: 1 {bad} 60\n\nSbjct: 1 {true} 60\n\n\n" for i in range(4)
+    )
+    (tmp_path / "m.blast").write_text(blast)
+    (tmp_path / "m.match").write_text("=q\n" + "".join(f">t{i} 60\n59 90 1 60 1 60\n{bad} {true}\n" for i in range(4)))
+    s = spark.createDataFrame([("q", bad, [20] * 60)], "query_id string, seq string, qual array<int>")
+    for form in ("blast", "match"):
+        r = X.repair_from_text(s, str(tmp_path / f"m.{form}"), form).first()
+        assert r.seq == true and r.n_changes == 1
+
+
 def test_pair_gap():
     assert _pair_gap([40, 40], [0, 88], [0, 88], 40, 40) == 0
     assert _pair_gap([40], [0], [0], 40, 40) == -1
