@@ -42,11 +42,6 @@ def _packed_counts(batches: Iterator[pa.RecordBatch], k: int, tags: int) -> Iter
         yield pa.RecordBatch.from_arrays([pa.array(tag[starts]), pa.array(word[starts].view(np.int64)), pa.array(n)], names=["tag", "word", "cnt"])
 
 
-def _spell(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), letters(b.column(1).to_numpy().view(np.uint64), k), b.column(2)], names=["tag", "kmer", "cnt"])
-
-
 def _packed_windows(batches: Iterator[pa.RecordBatch], k: int, both: bool) -> Iterator[pa.RecordBatch]:
     for t in gathered(batches, "seq", 1_000_000):
         b = Batch(t.column("seq"))
@@ -120,15 +115,16 @@ def keyed(df: DataFrame, k: int, column: str = "kmer") -> DataFrame:
     return df.where(F.col(column).rlike(f"^[ACGTacgt]{{{k}}}$")).mapInArrow(lambda it: _with_column(it, i, pack), ddl)
 
 
-def counts(reads: DataFrame, k: int, tag: Column | None = None, seq: str = "seq") -> DataFrame:
-    """(kmer, cnt), or (tag, kmer, cnt) with an integer tag per read: exact counts of canonical k-mers, a palindrome once an occurrence."""
+def counts(reads: DataFrame, k: int, tag: Column | None = None, seq: str = "seq", keys: bool = False) -> DataFrame:
+    """(kmer, cnt), or (tag, kmer, cnt) with an integer tag per read: exact counts of canonical k-mers, a palindrome once an occurrence. keys: kmer as keys, to be spelled later."""
     tagged = tag is not None
     if k > 32:
         w = windows(reads.withColumn("__tag", tag if tagged else F.lit(0)), k, ["__tag"], seq).groupBy(F.col("__tag").cast("bigint").alias("tag"), "kmer").agg(F.count("*").alias("cnt"))
     else:
         src = reads.select((tag.cast("bigint") if tagged else F.lit(0).cast("bigint")).alias("tag"), F.col(seq).alias("seq")).where("tag is not null")
         part = src.mapInArrow(lambda it: _packed_counts(it, k, tagged), "tag bigint, word bigint, cnt bigint")
-        w = part.groupBy("tag", "word").agg(F.sum("cnt").alias("cnt")).mapInArrow(lambda it: _spell(it, k), "tag bigint, kmer string, cnt bigint")
+        w = part.groupBy("tag", F.col("word").alias("kmer")).agg(F.sum("cnt").alias("cnt"))
+        w = w if keys else spell(w, k)
     return w if tagged else w.drop("tag")
 
 
@@ -302,27 +298,27 @@ def targets_in_few_references(target: DataFrame, combined: DataFrame, most_refs:
 
 
 def drop_shared(counted: DataFrame, most_refs: int) -> DataFrame:
-    """(ref, kmer, cnt) without k-mers held by more than most_refs references."""
-    wide = counted.groupBy("kmer").agg(F.count_distinct("ref").alias("n")).where(F.col("n") > most_refs).select("kmer")
+    """(ref, kmer, cnt) without k-mers held by more than most_refs references; counted has one row a reference and k-mer."""
+    wide = counted.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") > most_refs).select("kmer")
     return counted.join(wide, "kmer", "left_anti").select("ref", "kmer", "cnt")
 
 
 def presence_counts(counted: DataFrame) -> DataFrame:
-    """(kmer, n_refs): in how many references each k-mer is."""
-    return counted.groupBy("kmer").agg(F.count_distinct("ref").alias("n_refs"))
+    """(kmer, n_refs): in how many references each k-mer is; counted has one row a reference and k-mer."""
+    return counted.groupBy("kmer").agg(F.count("*").alias("n_refs"))
 
 
 def shared_identity(counted: DataFrame, least: int = 1, most_refs: int | None = None, keep_denominator: bool = False) -> DataFrame:
     """(ref_a, ref_b, shared, identity): |A and B| / |A| of all ordered pairs of references.
 
-    counted: (ref, kmer, cnt); counts under `least` are ignored. most_refs drops k-mers in more references; keep_denominator divides by the
-    set size before that. A k-mer's references are paired within its own row group, as many as there are references.
+    counted: (ref, kmer, cnt), one row a reference and k-mer; counts under `least` are ignored. most_refs drops k-mers in more references; keep_denominator divides by the
+    set size before that. Equal lists of references are counted before they are paired, so pairs are made of lists (as long as there are references), not of k-mers.
     """
-    base = counted.where(F.col("cnt") >= least).select("ref", "kmer").distinct()
-    used = base if most_refs is None else drop_shared(base.withColumn("cnt", F.lit(1)), most_refs).select("ref", "kmer")
-    sizes = (base if keep_denominator else used).groupBy(F.col("ref").alias("ref_a")).agg(F.count("*").alias("size"))
-    refs = used.groupBy("kmer").agg(F.collect_list("ref").alias("r"))
-    pairs = refs.select(F.explode("r").alias("ref_a"), "r").select("ref_a", F.explode("r").alias("ref_b")).where("ref_a <> ref_b").groupBy("ref_a", "ref_b").agg(F.count("*").alias("shared"))
+    base = counted.where(F.col("cnt") >= least).select("ref", "kmer")
+    every = base.groupBy("kmer").agg(F.array_sort(F.collect_list("ref")).alias("r")).groupBy("r").agg(F.count("*").alias("n"))
+    used = every if most_refs is None else every.where(F.size("r") <= most_refs)
+    sizes = (every if keep_denominator else used).select(F.explode("r").alias("ref_a"), "n").groupBy("ref_a").agg(F.sum("n").alias("size"))
+    pairs = used.select(F.explode("r").alias("ref_a"), "r", "n").select("ref_a", F.explode("r").alias("ref_b"), "n").where("ref_a <> ref_b").groupBy("ref_a", "ref_b").agg(F.sum("n").alias("shared"))
     return pairs.join(sizes, "ref_a").select("ref_a", "ref_b", "shared", F.round(F.col("shared") / F.col("size"), 6).alias("identity"))
 
 

@@ -35,8 +35,9 @@ def ref_reads(spark, d):
 
 
 def ref_counts(spark, d, k=12):
+    """(ref, kmer, cnt) with kmer as keys."""
     names = F.array(*[F.lit(x) for x in REF_NAMES])
-    return K.counts(ref_reads(spark, d), k, F.col("tag")).select(names[F.col("tag").cast("int")].alias("ref"), "kmer", "cnt")
+    return K.counts(ref_reads(spark, d), k, F.col("tag"), keys=True).select(names[F.col("tag").cast("int")].alias("ref"), "kmer", "cnt")
 
 
 def lists(spark, d):
@@ -148,7 +149,7 @@ def a9(spark, d):
 @query("a10_merge_counts", f"{refs_sql()} SELECT kmer, sum(cnt)::BIGINT AS cnt FROM rc WHERE ref IN ('fasta', 'lib4') GROUP BY kmer HAVING sum(cnt) > 2")
 def a10(spark, d):
     c = ref_counts(spark, d)
-    return K.merge_counts(*[c.where(F.col("ref") == r).select("kmer", "cnt") for r in ("fasta", "lib4")]).where("cnt > 2")
+    return K.spell(K.merge_counts(*[c.where(F.col("ref") == r).select("kmer", "cnt") for r in ("fasta", "lib4")]).where("cnt > 2"), 12)
 
 
 COMBINED = f"""{refs_sql()}, cb AS (SELECT kmer, CASE WHEN max(cnt) > 50 THEN 0 ELSE least(254, count(*) FILTER (cnt BETWEEN 2 AND 50)) END AS n_refs, max(cnt) > 50 AS invalid FROM rc GROUP BY kmer HAVING max(cnt) >= 2)"""
@@ -160,17 +161,17 @@ def combined(spark, d):
 
 @query("a11_combine_references", f"{COMBINED} SELECT kmer, n_refs, invalid FROM cb")
 def a11(spark, d):
-    return combined(spark, d)
+    return K.spell(combined(spark, d), 12)
 
 
 @query("a12_screen_by_library", f"{COMBINED}, lb AS (SELECT kmer, cnt AS lib FROM rc WHERE ref = 'other') SELECT kmer, CASE WHEN invalid OR lib NOT BETWEEN 2 AND 30 THEN 0 ELSE n_refs END AS value, invalid OR lib NOT BETWEEN 2 AND 30 AS invalid FROM cb JOIN lb USING (kmer)")
 def a12(spark, d):
-    return K.screen_by_library(combined(spark, d), ref_counts(spark, d).where("ref = 'other'"), 2, 30)
+    return K.spell(K.screen_by_library(combined(spark, d), ref_counts(spark, d).where("ref = 'other'"), 2, 30), 12)
 
 
 @query("a12_screen_keep_library", f"{COMBINED}, lb AS (SELECT kmer, cnt AS lib FROM rc WHERE ref = 'other'), j AS (SELECT kmer, invalid OR coalesce(lib, 0) NOT BETWEEN 2 AND 30 AS bad, coalesce(lib, 0) AS lib FROM cb LEFT JOIN lb USING (kmer)) SELECT kmer, CASE WHEN bad THEN 0 ELSE lib END AS value, bad AS invalid FROM j")
 def a12_keep(spark, d):
-    return K.screen_by_library(combined(spark, d), ref_counts(spark, d).where("ref = 'other'"), 2, 30, keep_library=True)
+    return K.spell(K.screen_by_library(combined(spark, d), ref_counts(spark, d).where("ref = 'other'"), 2, 30, keep_library=True), 12)
 
 
 @query("a13_combined_histogram", f"{COMBINED}, h AS (SELECT n_refs, invalid, count(*) AS n FROM cb GROUP BY ALL) SELECT n_refs, invalid, n, round(100.0 * n / sum(n) OVER (), 4) AS pct FROM h")
@@ -198,7 +199,7 @@ def a15_u(spark, d):
 
 @query("a16_presence_string", f"{refs_sql()} SELECT kmer, concat(coalesce(max(cnt) FILTER (ref = 'fasta'), 0), coalesce(max(cnt) FILTER (ref = 'lib4'), 0), coalesce(max(cnt) FILTER (ref = 'lib8'), 0), coalesce(max(cnt) FILTER (ref = 'other'), 0)) AS presence FROM rc GROUP BY kmer HAVING bool_or(ref = 'lib4')")
 def a16(spark, d):
-    return K.presence_string(ref_counts(spark, d), "lib4", REF_NAMES)
+    return K.spell(K.presence_string(ref_counts(spark, d), "lib4", REF_NAMES), 12)
 
 
 @query("u2_drop_shared", f"{refs_sql()}, w AS (SELECT kmer FROM rc GROUP BY kmer HAVING count(*) > 2) SELECT ref, count(*) AS n, sum(cnt)::BIGINT AS total FROM rc WHERE kmer NOT IN (SELECT kmer FROM w) GROUP BY ref")
@@ -209,7 +210,7 @@ def u2(spark, d):
 @query("u3_intersection", f"{refs_sql()} SELECT kmer FROM rc WHERE ref = 'lib4' INTERSECT SELECT kmer FROM rc WHERE ref = 'lib8'")
 def u3(spark, d):
     c = ref_counts(spark, d)
-    return c.where("ref = 'lib4'").select("kmer").intersect(c.where("ref = 'lib8'").select("kmer"))
+    return K.spell(c.where("ref = 'lib4'").select("kmer").intersect(c.where("ref = 'lib8'").select("kmer")), 12)
 
 
 @query("u4_presence_counts", f"{refs_sql()} SELECT n_refs, count(*) AS n FROM (SELECT kmer, count(*) AS n_refs FROM rc GROUP BY kmer) GROUP BY n_refs")
@@ -221,12 +222,12 @@ def u4(spark, d):
 def j2(spark, d):
     c = ref_counts(spark, d)
     lib = c.where("ref = 'other'").select("kmer", F.col("cnt").alias("lib"))
-    return c.where("ref = 'lib4'").select("kmer").join(lib, "kmer", "left").select("kmer", F.coalesce("lib", F.lit(0)).cast("bigint").alias("lib"))
+    return K.spell(c.where("ref = 'lib4'").select("kmer").join(lib, "kmer", "left").select("kmer", F.coalesce("lib", F.lit(0)).cast("bigint").alias("lib")), 12)
 
 
 @query("j3_few_reference_kmers", f"{COMBINED} SELECT kmer, n_refs FROM rc JOIN cb USING (kmer) WHERE ref = 'lib8' AND NOT invalid AND n_refs BETWEEN 1 AND 2")
 def j3(spark, d):
-    return K.targets_in_few_references(ref_counts(spark, d).where("ref = 'lib8'"), combined(spark, d), 2)
+    return K.spell(K.targets_in_few_references(ref_counts(spark, d).where("ref = 'lib8'"), combined(spark, d), 2), 12)
 
 
 @query("a30_postings", f"WITH {READS}, {windows_sql(14, keep='read_id')} SELECT kmer, read_id, count(*) AS n FROM win GROUP BY ALL HAVING count(*) > 1")
