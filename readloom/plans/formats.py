@@ -68,6 +68,44 @@ def s7(spark, d):
     return Ordered(spark.read.format("readloom_lines").load(path), "file", "line_no").numbered("n")[0].select("n", "value")
 
 
+# matches made of pair_match: numbers of its columns, sequences by length of match
+MATCHES = """m AS (SELECT match_id, regexp_extract(read1, '^\\s*[>@]?([^\\s]*)', 1) AS query_id, regexp_extract(read2, '^\\s*[>@]?([^\\s]*)', 1) AS id, read_length::BIGINT AS length, identity::BIGINT AS identity, match_length::BIGINT AS score FROM pair_match),
+k AS (SELECT DISTINCT * FROM m WHERE query_id <> '' AND id <> '' AND identity IS NOT NULL AND length IS NOT NULL AND score IS NOT NULL)"""
+SEQS = "1::BIGINT AS start, 12::BIGINT AS stop, 3::BIGINT AS s_start, (score % 7 + 12)::BIGINT AS s_stop, 'ACGTACGTAC' || chr((65 + 2 * (score % 2))::INT) || 'G' AS qs, 'ACGTACGTACGG' AS ss"
+
+
+def matches(spark, d):
+    from readloom.functions.reads import bare_name
+    from readloom.session import table
+
+    m = table(spark, d, "pair_match").select(bare_name(F.col("read1")).alias("query_id"), bare_name(F.col("read2")).alias("id"), *[F.col(a).cast("bigint").alias(b) for a, b in (("read_length", "length"), ("identity", "identity"), ("match_length", "score"))], "match_id")
+    k = m.dropna().distinct()
+    return k.select("query_id", "id", "length", "identity", "score", F.lit(1).alias("start"), F.lit(12).alias("stop"), F.lit(3).alias("s_start"), (F.col("score") % 7 + 12).alias("s_stop"), F.concat(F.lit("ACGTACGTAC"), F.when(F.col("score") % 2 == 0, "A").otherwise("C"), F.lit("G")).alias("qs"), F.lit("ACGTACGTACGG").alias("ss"))
+
+
+@query("s10_blast_text", f"WITH {MATCHES} SELECT query_id, id, length, identity, score, {SEQS} FROM k")
+def s10(spark, d):
+    path = folder(spark, "blast")
+    t = "Query= {query_id}\n\n>{id} x\n          Length = {length}\n\n Score = {score} bits (1)\n Identities = {identity}/{score} (9%)\n Strand = Plus / Plus\n\nQuery: {start} {qs} {stop}\n          |||\nSbjct: {s_start} {ss} {s_stop}\n\n"
+    text.write_lines(matches(spark, d).select(filled(t)), path)
+    return spark.read.format("readloom_blast").load(path)
+
+
+@query("s11_compact_matches", f"WITH {MATCHES} SELECT query_id, id, length, identity, score, {SEQS} FROM k")
+def s11(spark, d):
+    path = folder(spark, "compact")
+    text.write_lines(matches(spark, d).select(filled("={query_id}\n>{id} {length}\n{identity} {score} {start} {stop} {s_start} {s_stop}\n{qs} {ss}")), path, codec="gz")
+    return spark.read.format("readloom_match").load(path)
+
+
+def filled(template: str):
+    """A text with {column} in it, as one column."""
+    import re
+
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(parts) if x]).alias("value")
+
+
 @query("s12_bam_round_trip", f"{ONE} SELECT name, upper(regexp_replace(seq, '[^ACGTRYSWKMBDHVNacgtryswkmbdhvn=]', 'N', 'g')) AS seq, array_to_string(list_transform(qual, lambda q: least(q, 93)), ' ') AS quals FROM one")
 def s12(spark, d):
     path = folder(spark, "bam")

@@ -251,6 +251,13 @@ def r5(spark, d):
     return T.even_chunks(table(spark, d, "pair_match").select("match_id").distinct(), "match_id", 7)
 
 
+@query("r7_packed_files")
+def r7(spark, d):
+    """Files of reads in four bins of near equal size (one row a file is collected)."""
+    sizes = {r.file: r.n for r in reads(spark, d).groupBy("file").agg(F.sum(F.length("seq")).alias("n")).collect()}
+    return spark.createDataFrame([(f, i, sizes[f]) for i, b in enumerate(T.pack_files(sizes, 4)) for f in b], "file string, bin int, n_bases bigint")
+
+
 @query("j18_kmer_set_pairs", f"""WITH {READS}, {windows_sql(16, keep='file', name='sw')}, s AS (SELECT DISTINCT file, kmer FROM sw), n AS (SELECT file AS ref_a, count(*) AS size FROM s GROUP BY file),
 p AS (SELECT a.file AS ref_a, b.file AS ref_b, count(*) AS shared FROM s a JOIN s b USING (kmer) WHERE a.file <> b.file GROUP BY ALL) SELECT ref_a, ref_b, shared, round(shared / size, 6) AS identity FROM p JOIN n USING (ref_a)""")
 def j18(spark, d):
