@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCKS = 4096
+MOST_TARGETS = 10_000  # rows of the table of targets, which is a table of parameters
 
 
 def normalised(w: dict[str, float]) -> dict[str, float]:
@@ -95,14 +96,16 @@ def mix_sources(sized: DataFrame, targets: DataFrame, budget: float | None = Non
     """(chosen, report) of every recipe.
 
     sized: doc_id, source, n_tokens, one row per document, best a written table; documents with a null source or id or without tokens are left out.
-    targets: recipe, source, target_share, max_repeats (a parameter table; null counts as 0). budget: tokens of a mixture, by default as many as
+    targets: recipe, source, target_share, max_repeats (a parameter table of at most 10,000 rows, else ValueError; null counts as 0). budget: tokens of a mixture, by default as many as
     all the recipe's sources with a target have. target_entropy (nats): temperature family of the sources' own shares instead of target shares.
     chosen: recipe, doc_id, source, n_tokens, repeats (1..max_repeats);
     report: recipe, source, target_share, reached_share, source_tokens, mixed_tokens, mean_repeats, exponent.
     """
     spark = sized.sparkSession
     docs = sized.where("source is not null and doc_id is not null and n_tokens > 0").select("doc_id", "source", "n_tokens")
-    wanted = [r.asDict() for r in targets.groupBy("recipe", "source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("most")).where("source is not null").collect()]
+    wanted = [r.asDict() for r in targets.groupBy("recipe", "source").agg(F.coalesce(F.max("target_share"), F.lit(0.0)).alias("share"), F.coalesce(F.max("max_repeats"), F.lit(0)).alias("most")).where("source is not null").limit(MOST_TARGETS + 1).collect()]
+    if len(wanted) > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} targets: the table of targets is a parameter")
     names = sorted({r["source"] for r in wanted})
     tokens = {r[0]: int(r[1]) for r in docs.where(F.col("source").isin(names)).groupBy("source").agg(F.sum("n_tokens")).collect()}  # a row per source of the recipes
     plan = []

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHARD = 20_000  # items of a shard
+MOST_KINDS = 1000  # of containers: a table of parameters
 
 
 def closest_multiset(lengths: list[int], counts: dict[int, int], room: int, window: int) -> dict[int, int]:
@@ -74,11 +75,13 @@ def pack(sizes: list[int], capacity: int, window: int = 48) -> list[list[tuple[i
 def pack_items(items: DataFrame, bins: DataFrame, item: str = "doc_id", size: str = "n_tokens", kind: str = "bin_kind", capacity: str = "capacity_tokens", shard_size: int = SHARD) -> DataFrame:
     """(bin_kind, bin_id, capacity_tokens, doc_id, part_no, token_start, token_stop): every item in containers of every kind.
 
-    bins: a small table of kinds (parameters; null or non-positive capacities are left out). Rows with a null id or a size that
+    bins: a small table of kinds (parameters, at most 1000, else ValueError; null or non-positive capacities are left out). Rows with a null id or a size that
     is null or < 1 are left out. An item id is expected once; repeated rows are packed as items of their own. An item is cut, into pieces of
     `capacity` and a rest, only if it is longer than the container. bin_id is unique within a kind.
     """
-    kinds = [(r[0], int(r[1])) for r in bins.where(F.col(capacity) > 0).select(kind, capacity).distinct().orderBy(kind, capacity).collect()]
+    kinds = sorted(((r[0], int(r[1])) for r in bins.where(F.col(capacity) > 0).select(kind, capacity).distinct().limit(MOST_KINDS + 1).collect()), key=lambda x: (x[0] is not None, str(x[0]), x[1]))
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers: the table of kinds is a parameter")
     base = items.where(F.col(item).isNotNull() & (F.col(size) > 0)).select(F.col(item).alias("doc_id"), F.col(size).cast("bigint").alias("n"))
     shards = max(1, -(-base.count() // shard_size))
     schema = "bin_kind string, bin_id bigint, capacity_tokens int, doc_id bigint, part_no int, token_start bigint, token_stop bigint"

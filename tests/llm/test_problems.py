@@ -247,6 +247,8 @@ def test_packing(spark):
     assert set(rep) == {"a", "b"} and all(r.n_tokens == sum(sizes) and r.fill > 0.93 for r in rep.values())
     assert packed.groupBy("bin_kind", "doc_id", "part_no").count().where("count > 1").count() == 0
     assert pack_items(items.limit(0), kinds).count() == 0
+    with pytest.raises(ValueError, match="1000 kinds"):
+        pack_items(items, spark.range(2000).selectExpr("string(id) AS bin_kind", "int(id + 1) AS capacity_tokens"))
 
 
 def test_temperature_weights():
