@@ -1,7 +1,7 @@
 """Repeat masking and repetitiveness of reads.
 
-Windows cross the shuffle once, as (read number, position, packed k-mer), to meet their counts; only the repetitive ones come back, one list of
-positions a read, and one Arrow pass turns lists into masks. A mask is a column of ranges, so all that follows is per-row work.
+The repetitive k-mers are counted first. Up to a checked number of them goes to the tasks, and reads are masked where they are; beyond it windows cross the shuffle once, as
+(read number, position, packed k-mer), and only the repetitive ones come back, one list of positions a read. A mask is a column of ranges, so all that follows is per-row work.
 """
 
 from __future__ import annotations
@@ -13,9 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.functions.arrow import slices
 from readloom.functions.packed import Batch
 from readloom.functions.reads import numbered
 from readloom.operators import kmers as K
+from readloom.session import written
 
 THRESHOLDS = (*range(2, 21), *range(25, 101, 5))  # fixed values: count limits of the read histogram
 RANGES = "array<struct<start:bigint,stop:bigint>>"
@@ -43,56 +45,80 @@ def _bounds(flags: np.ndarray, row: np.ndarray, starts: np.ndarray, n: int) -> p
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[begin], minlength=n))]).astype(np.int32)), value)
 
 
-def _masks(batches: Iterator[pa.RecordBatch], k: int, coverage: int) -> Iterator[pa.RecordBatch]:
+def _mask(b: Batch, at: np.ndarray, k: int, x: int) -> np.ndarray:
+    """Which bases are masked, from the starts of repetitive windows."""
+    total = len(b.codes)
+    plain = b.codes < 4
+    # maximal runs of plain bases within a row: their bounds at every base
+    new = np.ones(total, bool)
+    new[1:] = (plain[1:] != plain[:-1]) | (b.row[1:] != b.row[:-1])
+    run = np.cumsum(new) - 1
+    begin = np.flatnonzero(new)
+    stop = np.append(begin[1:], total)[run] if total else np.zeros(0, int)
+    start = begin[run] if total else np.zeros(0, int)
+    pos = np.arange(total)
+    cover = np.zeros(total + 1, np.int64)
+    np.add.at(cover, at, 1)
+    np.subtract.at(cover, np.minimum(at + k, total), 1)
+    c = np.cumsum(cover[:total])
+    last = stop - k
+    first_slot = np.where(pos <= last, np.maximum(start, pos - (k - 1)), pos - (k - 1))
+    slots = np.minimum(pos, last) - first_slot + 1
+    usable = plain & (stop - start >= k)
+    state = np.where(c >= x, 1, np.where(c < slots, 0, -1))
+    decided = usable & (state >= 0)
+    # the decided base before and after, within the run
+    seen = np.maximum.accumulate(np.where(decided, pos, -1)) if total else pos
+    before = np.concatenate([[-1], seen[:-1]]) if total else pos
+    ahead = np.minimum.accumulate(np.where(decided, pos, total)[::-1])[::-1] if total else pos
+    after = np.append(ahead[1:], total) if total else pos
+    left = (before >= start) & (state[np.maximum(before, 0)] == 1) if total else np.zeros(0, bool)
+    right = (after < stop) & (state[np.minimum(after, total - 1)] == 1) if total else np.zeros(0, bool)
+    masked = usable & np.where(state >= 0, state == 1, left | right)
+    return masked
+
+
+def _masks(batches: Iterator[pa.RecordBatch], k: int, x: int) -> Iterator[pa.RecordBatch]:
     """(id, mask) from (id, seq, hits), hits being the starts of repetitive windows."""
-    x = min(coverage, k)
     for t in batches:
         b = Batch(t.column(1))
-        total = len(b.codes)
         lists = t.column(2)
-        owner = np.repeat(np.arange(t.num_rows), lists.fill_null([]).value_lengths().to_numpy(zero_copy_only=False)) if len(lists) else np.zeros(0, int)
-        at = lists.flatten().to_numpy().astype(np.int64) + b.starts[owner]
-        plain = b.codes < 4
-        # maximal runs of plain bases within a row: their bounds at every base
-        new = np.ones(total, bool)
-        new[1:] = (plain[1:] != plain[:-1]) | (b.row[1:] != b.row[:-1])
-        run = np.cumsum(new) - 1
-        begin = np.flatnonzero(new)
-        stop = np.append(begin[1:], total)[run] if total else np.zeros(0, int)
-        start = begin[run] if total else np.zeros(0, int)
-        pos = np.arange(total)
-        cover = np.zeros(total + 1, np.int64)
-        np.add.at(cover, at, 1)
-        np.subtract.at(cover, np.minimum(at + k, total), 1)
-        c = np.cumsum(cover[:total])
-        last = stop - k
-        first_slot = np.where(pos <= last, np.maximum(start, pos - (k - 1)), pos - (k - 1))
-        slots = np.minimum(pos, last) - first_slot + 1
-        usable = plain & (stop - start >= k)
-        state = np.where(c >= x, 1, np.where(c < slots, 0, -1))
-        decided = usable & (state >= 0)
-        # the decided base before and after, within the run
-        seen = np.maximum.accumulate(np.where(decided, pos, -1)) if total else pos
-        before = np.concatenate([[-1], seen[:-1]]) if total else pos
-        ahead = np.minimum.accumulate(np.where(decided, pos, total)[::-1])[::-1] if total else pos
-        after = np.append(ahead[1:], total) if total else pos
-        left = (before >= start) & (state[np.maximum(before, 0)] == 1) if total else np.zeros(0, bool)
-        right = (after < stop) & (state[np.minimum(after, total - 1)] == 1) if total else np.zeros(0, bool)
-        masked = usable & np.where(state >= 0, state == 1, left | right)
+        owner = np.repeat(np.arange(t.num_rows), lists.value_lengths().to_numpy())
+        masked = _mask(b, lists.flatten().to_numpy().astype(np.int64) + b.starts[owner], k, x)
         yield pa.RecordBatch.from_arrays([t.column(0), _bounds(masked, b.row, b.starts, t.num_rows)], names=["id", "mask"])
 
 
-def masked_reads(reads: DataFrame, k: int, least: int, below: int | None = None, coverage: int = 1, counted: DataFrame | None = None) -> DataFrame:
+def _masks_of(batches: Iterator[pa.RecordBatch], keys: np.ndarray, k: int, x: int) -> Iterator[pa.RecordBatch]:
+    """Rows with their mask, the repetitive k-mers being known (sorted keys)."""
+    for t in slices(batches, "seq", 1_000_000):
+        b = Batch(t.column(t.schema.get_field_index("seq")))
+        at = np.flatnonzero(b.valid(k))
+        if len(keys) and len(at):
+            word = b.canonical(k)[at]
+            at = at[keys[np.minimum(np.searchsorted(keys, word), len(keys) - 1)] == word]
+        else:
+            at = at[:0]
+        yield pa.RecordBatch.from_arrays([*t.columns, _bounds(_mask(b, at, k, x), b.row, b.starts, t.num_rows)], names=[*t.schema.names, "mask"])
+
+
+def masked_reads(reads: DataFrame, k: int, least: int, below: int | None = None, coverage: int = 1, counted: DataFrame | None = None, most_keys: int = 1_000_000) -> DataFrame:
     """reads with mask, ranges of masked bases. A k-mer is repetitive if it occurs at least `least` and under `below` times in counted (kmer, cnt), or in the reads
     themselves. A base is masked if at least `coverage` (at most k) repetitive k-mers cover it; where fewer do but all that cover it are repetitive, it follows the base
     on its left if that is masked, else the next decided base of its run.
 
-    reads: seq not null, any other columns. Runs of plain bases shorter than k are never masked.
+    reads: seq not null, any other columns. Runs of plain bases shorter than k are never masked. least: 1 or more.
+    Up to most_keys repetitive k-mers (8 bytes each) are sent to the tasks, and reads are masked where they are; beyond that windows meet their counts in a join.
     """
+    x = min(coverage, k)
+    keys, _ = written((K.key_counts(reads, k) if counted is None else K.keyed(counted.select("kmer", "cnt"), k)).where(_repetitive(least, below)).select("kmer"), "repetitive")
+    if k <= 32 and keys.count() <= most_keys:
+        found = np.sort(np.array([r[0] for r in keys.collect()], np.int64).view(np.uint64))
+        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reads.schema)
+        return reads.mapInArrow(lambda it: _masks_of(it, found, k, x), f"{ddl}, mask {RANGES}")
     r = numbered(reads)
-    hits = K.key_windows(r, k, "__id").join(_counted(r, counted, k), "kmer").where(_repetitive(least, below))
+    hits = K.key_windows(r, k, "__id").join(keys, "kmer", "left_semi")
     lists = hits.groupBy("id").agg(F.collect_list("pos").alias("hits"))  # at most one entry a base of one read
-    each = r.select(F.col("__id").alias("id"), "seq").join(lists, "id").select("id", "seq", "hits").mapInArrow(lambda it: _masks(it, k, coverage), f"id bigint, mask {RANGES}")
+    each = r.select(F.col("__id").alias("id"), "seq").join(lists, "id").select("id", "seq", "hits").mapInArrow(lambda it: _masks(it, k, x), f"id bigint, mask {RANGES}")
     return r.join(each, r["__id"] == each["id"], "left").withColumn("mask", F.coalesce("mask", F.array().cast(RANGES))).drop("__id", "id")
 
 
