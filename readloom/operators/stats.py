@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from readloom.operators.order import Ordered
+from readloom.session import written
 
 
 def quality_stats(reads: DataFrame, step: int = 50, least: int = 20, keys: tuple[str, ...] = ("file",)) -> DataFrame:
@@ -81,16 +82,25 @@ def length_table(lengths: DataFrame, step: int = 1000, genome: int | None = None
     return g.select("cutoff", "n_reads", "n_bases", F.floor((F.col("a") + F.col("b")) / 2).alias("median"), cover.alias("coverage"))
 
 
-def well_sizes(rows: DataFrame, hole: str = "hole_number") -> DataFrame:
+def well_sizes(rows: DataFrame, hole: str = "hole_number", cells: int = 2**21) -> DataFrame:
     """(well_row, well_column, longest, total, passes, weight) of every well in the grid spanned by the holes; weight is the total over mean + 2 population standard deviations, at most 1.
 
-    Empty wells have zeros.
+    Empty wells have zeros. The grid is not joined: each well is followed by the empty ones up to the next of its row, in tasks of about `cells` wells. One row (the grid's size) reaches the driver.
     """
-    g = rows.groupBy(hole).agg(F.max("length").alias("longest"), F.sum("length").alias("total"), F.max("passes").alias("passes"))
-    s = g.agg((F.avg("total") + 2 * F.stddev_pop("total")).alias("norm"), F.max(F.shiftright(hole, 16)).alias("mr"), F.max(F.col(hole).bitwiseAND(F.lit(65535))).alias("mc"))
-    grid = s.select("norm", F.explode(F.sequence(F.lit(0).cast("bigint"), "mr")).alias("well_row"), "mc").select("norm", "well_row", F.explode(F.sequence(F.lit(0).cast("bigint"), "mc")).alias("well_column"))
-    j = grid.join(g.select(F.shiftright(hole, 16).alias("well_row"), F.col(hole).bitwiseAND(F.lit(65535)).alias("well_column"), "longest", "total", "passes"), ["well_row", "well_column"], "left").fillna(0, ["longest", "total", "passes"])
-    return j.select("well_row", "well_column", "longest", "total", "passes", F.round(F.least(F.lit(1.0), F.col("total") / F.col("norm")), 6).alias("weight"))
+    spark = rows.sparkSession
+    g, _ = written(rows.groupBy(hole).agg(F.max("length").alias("longest"), F.sum("length").alias("total"), F.max("passes").alias("passes")), "wells")
+    s = g.agg((F.avg("total") + 2 * F.stddev_pop("total")).alias("norm"), F.max(F.shiftright(hole, 16)).alias("mr"), F.max(F.col(hole).bitwiseAND(F.lit(65535))).alias("mc")).first()
+    n_rows, n_columns = (0, 0) if s["mr"] is None else (max(s["mr"] + 1, 0), s["mc"] + 1)
+    weight = lambda total: F.round(F.least(F.lit(1.0), total / F.lit(s["norm"]).cast("double")), 6)
+    values = {c: F.coalesce(c, F.lit(0)) for c in ("longest", "total", "passes")}
+    wells = g.select(F.shiftright(hole, 16).cast("bigint").alias("well_row"), F.col(hole).bitwiseAND(F.lit(65535)).cast("bigint").alias("at"), *[v.alias(c) for c, v in values.items()]).where("well_row >= 0").withColumn("weight", weight(F.col("total")))
+    # every row begins before its first column, so that rows without holes are filled too
+    begins = spark.range(n_rows).select(F.col("id").alias("well_row"), F.lit(-1).cast("bigint").alias("at"))
+    u = wells.unionByName(begins, allowMissingColumns=True).repartition(max(spark.sparkContext.defaultParallelism, -(-n_rows * n_columns // cells)), "well_row")
+    u = u.withColumn("to", F.lead("at", 1, n_columns).over(Window.partitionBy("well_row").orderBy("at")))
+    u = u.select("*", F.explode(F.sequence("at", F.col("to") - 1)).alias("well_column")).where("well_column >= 0")
+    own, empty = F.col("well_column") == F.col("at"), {"weight": weight(F.lit(0).cast("bigint"))}
+    return u.select("well_row", "well_column", *[F.when(own, F.col(c)).otherwise(empty.get(c, F.lit(0))).alias(c) for c in ("longest", "total", "passes", "weight")])
 
 
 # --- alignment files and reads
